@@ -1,11 +1,11 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from siltbed.llm import decontaminate, line_dedup, line_quality, lm_score, mixing, simhash, token_counts, url_rules, warc
+from siltbed.llm import decontaminate, line_dedup, line_quality, lm_score, mixing, simhash, suffix_dedup, token_counts, url_rules, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
-        warc.op1_warc_derivatives, url_rules.op2_url_rules, token_counts.op3_token_counts, lm_score.op5_lm_score, line_quality.op6_line_quality,
+        warc.op1_warc_derivatives, url_rules.op2_url_rules, token_counts.op3_token_counts, suffix_dedup.op4_suffix_dedup, lm_score.op5_lm_score, line_quality.op6_line_quality,
         line_dedup.op7_line_dedup, simhash.op8_simhash_dedup, decontaminate.op9_benchmark_decontamination, mixing.op10_source_mix,
     )
 }
