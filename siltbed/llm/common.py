@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,14 +38,23 @@ def cut(df: DataFrame) -> DataFrame:
 
     The folder is the session's spark.checkpoint.dir; only a session without one, as in tests, gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltbed-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or one of its own where that is unset."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltbed-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut(), as a Parquet table: smaller on disk, but it stays until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/siltbed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

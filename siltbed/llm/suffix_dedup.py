@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import cut, table
+from siltbed.llm.common import stored, table
 
 LENGTH, K = 400, 50
 HOT = 1024
@@ -94,21 +94,29 @@ def _find_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in g["text"]]
         own, key, lo, n, place = segments(texts)
         data = memoryview(b"".join(texts))
-        digests = [xxhash.xxh3_128_digest(data[p : p + m + LENGTH - 1]) for p, m in zip(place.tolist(), n.tolist(), strict=True)]
-        s = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy()[own], "h": g["h"].to_numpy()[own], "key": key, "s1": s[:, 0], "s2": s[:, 1], "lo": lo.astype(np.int32), "n": n.astype(np.int32)})
+        digests = (xxhash.xxh3_64_intdigest(data[p : p + m + LENGTH - 1]) for p, m in zip(place.tolist(), n.tolist(), strict=True))
+        seg = np.fromiter(digests, np.uint64, len(own)).view(np.int64)
+        yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy()[own], "h": g["h"].to_numpy()[own], "key": key, "seg": seg, "lo": lo.astype(np.int32), "n": n.astype(np.int32)})
 
 
-def suffix_order(data: bytes, depth: int) -> np.ndarray:
-    """All positions of data, ordered by the first depth bytes from there, by two-stage sorting."""
+def suffix_order(data: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The wanted positions of data (default: all), ordered by the first depth bytes from there, by two-stage sorting.
+
+    Besides the wanted ones, those are sorted that they are induced from: what follows them up to the next suffix that
+    is smaller than its successor.
+    """
     t = np.frombuffer(data, np.uint8)
     n = len(t)
+    wanted = np.ones(n, bool) if wanted is None else wanted
     step = np.zeros(n, np.int8)  # 1: smaller than its successor, -1: greater
     step[:-1] = np.sign(t[1:].astype(np.int16) - t[:-1])
     step[-1] = -1
     known = np.flatnonzero(step)
     small = step[known[np.searchsorted(known, np.arange(n))]] > 0  # equal bytes: as the next that differ
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: data[i : i + depth]), np.int64)
+    smalls = np.append(np.flatnonzero(small), n)
+    next_small = smalls[np.searchsorted(smalls, np.flatnonzero(wanted))]
+    direct = np.unique(next_small[next_small < n])
+    direct = np.array(sorted(direct.tolist(), key=lambda i: data[i : i + depth]), np.int64)
     cuts = np.searchsorted(t[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[t[-1]].append(np.array([n - 1]))
@@ -131,7 +139,8 @@ def suffix_order(data: bytes, depth: int) -> np.ndarray:
             values, at = np.unique(firsts[by], return_index=True)
             for v, part in zip(values, np.split(before[by], at[1:]), strict=True):
                 waiting[v].append(part)
-    return np.concatenate(order)
+    order = np.concatenate(order)
+    return order[wanted[order]]
 
 
 def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
@@ -142,8 +151,7 @@ def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
     is_start = np.zeros(len(data), bool)
     for b, s in zip(begin, sizes, strict=True):
         is_start[b : b + s - length + 1] = True
-    order = suffix_order(data, length)
-    order = order[is_start[order]]
+    order = suffix_order(data, length, is_start)
     a, b = order[:-1], order[1:]
     t = np.frombuffer(data + bytes(8), np.uint8)
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(t, 8)).view(np.uint64)[:, 0]
@@ -165,12 +173,12 @@ def _sort_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by key."""
 
     def found(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates(["s1", "s2"])
+        g = g.drop_duplicates(["key", "seg"])
         parts = [p for p, m in zip(g["part"], g["m"], strict=True) for _ in range(min(m, 2))]
         flags = repeated_starts(parts, LENGTH)
         first = np.cumsum(np.minimum(g["m"], 2)) - np.minimum(g["m"], 2)
         runs = [_runs(flags[i]) for i in first]
-        return pd.DataFrame({"s1": g["s1"], "s2": g["s2"], "a": [r[0] for r in runs], "b": [r[1] for r in runs]})
+        return pd.DataFrame({"key": g["key"], "seg": g["seg"], "a": [r[0] for r in runs], "b": [r[1] for r in runs]})
 
     rest: list[pd.DataFrame] = []
     size = 0
@@ -196,7 +204,7 @@ def _hash_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digests = b"".join(xxhash.xxh3_128_digest(p[i : i + LENGTH]) for p, m in zip(g["part"], n, strict=True) for i in range(m))
         w = np.frombuffer(digests, np.int64).reshape(-1, 2)
         at = np.concatenate([np.arange(m) for m in n]) if len(n) else np.zeros(0)
-        yield pd.DataFrame({"s1": np.repeat(g["s1"].to_numpy(), n), "s2": np.repeat(g["s2"].to_numpy(), n), "at": at.astype(np.int32), "w1": w[:, 0], "w2": w[:, 1], "m": np.repeat(g["m"].to_numpy(), n)})
+        yield pd.DataFrame({"key": np.repeat(g["key"].to_numpy(), n), "seg": np.repeat(g["seg"].to_numpy(), n), "at": at.astype(np.int32), "w1": w[:, 0], "w2": w[:, 1], "m": np.repeat(g["m"].to_numpy(), n)})
 
 
 def _cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,22 +236,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     doc = F.struct("doc_id", "h").alias("doc")
-    at = cut(d.mapInPandas(_find_segments, f"doc_id {kind}, h long, key long, s1 long, s2 long, lo int, n int").select(doc, "key", "s1", "s2", "lo", "n"))
-    segs = at.groupBy("key", "s1", "s2").agg(F.count("*").alias("m"), F.min(F.struct("doc", "lo", "n")).alias("x"))
-    keys = segs.groupBy("key").agg(F.sum("m").alias("total"), F.count("*").alias("variants")).where("total > 1").drop("total")
-    segs = segs.join(keys, "key").groupBy("x.doc").agg(F.collect_list(F.struct("key", "s1", "s2", "m", "variants", "x.lo", "x.n")).alias("segs"))
+    at = stored(d.mapInPandas(_find_segments, f"doc_id {kind}, h long, key long, seg long, lo int, n int").select(doc, "key", "seg", "lo", "n"))
+    keys = at.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key")
+    at = stored(at.join(keys, "key", "left_semi"))
+
+    segs = at.groupBy("key", "seg").agg(F.count("*").alias("m"), F.min(F.struct("doc", "lo", "n")).alias("x"))
+    segs = segs.join(at.select("key", "seg").distinct().groupBy("key").agg(F.count("*").alias("variants")), "key")
+    segs = segs.groupBy("x.doc").agg(F.collect_list(F.struct("key", "seg", "m", "variants", "x.lo", "x.n")).alias("segs"))
     whole = d.select(doc, F.col("text").cast("binary").alias("data"))
-    part = lambda s: F.struct(*[s[c].alias(c) for c in ("key", "s1", "s2", "m", "variants")], F.substring("data", s["lo"] + 1, s["n"] + (LENGTH - 1)).alias("part"))
-    parts = whole.join(segs, "doc").select(F.explode(F.transform("segs", part)).alias("s")).select("s.*")
-    parts = cut(parts)
-    found = parts.where(F.col("variants") <= hot).drop("variants").repartition("key").sortWithinPartitions("key").mapInPandas(_sort_segments, "s1 long, s2 long, a array<int>, b array<int>")
+    part = lambda s: F.struct(*[s[c].alias(c) for c in ("key", "seg", "m", "variants")], F.substring("data", s["lo"] + 1, s["n"] + (LENGTH - 1)).alias("part"))
+    parts = stored(whole.join(segs, "doc").select(F.explode(F.transform("segs", part)).alias("s")).select("s.*"))
+    found = parts.where(F.col("variants") <= hot).drop("variants").repartition("key").sortWithinPartitions("key").mapInPandas(_sort_segments, "key long, seg long, a array<int>, b array<int>")
 
-    windows = parts.where(F.col("variants") > hot).mapInPandas(_hash_windows, "s1 long, s2 long, at int, w1 long, w2 long, m long").distinct()
+    windows = parts.where(F.col("variants") > hot).mapInPandas(_hash_windows, "key long, seg long, at int, w1 long, w2 long, m long").distinct()
     again = windows.groupBy("w1", "w2").agg(F.sum("m").alias("m")).where("m > 1").select("w1", "w2")
-    each = windows.join(again, ["w1", "w2"], "left_semi").groupBy("s1", "s2").agg(F.collect_list("at").alias("a"))
-    found = found.where(F.size("a") > 0).unionByName(each.select("s1", "s2", "a", F.col("a").alias("b")))
+    each = windows.join(again, ["w1", "w2"], "left_semi").groupBy("key", "seg").agg(F.collect_list("at").alias("a"))
+    found = found.where(F.size("a") > 0).unionByName(each.select("key", "seg", "a", F.col("a").alias("b")))
 
-    hits = at.join(found, ["s1", "s2"]).groupBy("doc").agg(F.collect_list(F.struct("lo", "a", "b")).alias("found"))
+    hits = at.join(found, ["key", "seg"]).groupBy("doc").agg(F.collect_list(F.struct("lo", "a", "b")).alias("found"))
     out = d.select(doc, "text").join(hits, "doc", "left").select(F.col("doc.doc_id").alias("doc_id"), "text", "found")
     return out.mapInPandas(_cut_texts, f"doc_id {kind}, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
 
