@@ -16,6 +16,7 @@ from siltbed.llm.common import ascii_lower, cut, table
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A set of at most so many terms goes into the plan as literals; a larger one is joined.
 MOST_LITERALS = 100_000
+SALTS = 32
 
 
 def exact_words(text: Column) -> Column:
@@ -72,9 +73,12 @@ def find_matches(docs: DataFrame, items: DataFrame, n: int = 13, slack: int = 0,
     reach = n - 1 + slack
     postings = cut(_tokens(docs, terms, most_literals, False, reach))
 
-    first = postings.join(probes.select("wid", "ws", "items", F.col("a.term").alias("term"), F.col("a.off").alias("off")), "term")
+    # a frequent term's postings are dealt out over SALTS keys; the windows, few beside them, go to each
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    postings = postings.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int"))
+    first = postings.join(probes.select("wid", "ws", "items", F.col("a.term").alias("term"), F.col("a.off").alias("off"), salts), ["term", "salt"])
     first = first.select("key", "wid", (F.col("pos") - F.col("off")).alias("start"), "ws", "items", "n", "lo", "ctx")
-    second = postings.join(probes.select("wid", F.col("b.term").alias("term"), F.col("b.off").alias("off")), "term")
+    second = postings.join(probes.select("wid", F.col("b.term").alias("term"), F.col("b.off").alias("off"), salts), ["term", "salt"])
     second = second.select("key", "wid", (F.col("pos") - F.col("off")).alias("start"))
     inside = (F.col("start") >= 0) & (F.col("start") + F.size("ws") <= F.col("n"))
     exact = first.where(inside).join(second, ["key", "wid", "start"], "left_semi")

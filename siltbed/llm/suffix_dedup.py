@@ -237,11 +237,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = d.schema["doc_id"].dataType.simpleString()
     doc = F.struct("doc_id", "h").alias("doc")
     at = stored(d.mapInPandas(_find_segments, f"doc_id {kind}, h long, key long, seg long, lo int, n int").select(doc, "key", "seg", "lo", "n"))
-    keys = at.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key")
+    keys = stored(at.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key"))  # so that the join's hot keys can be split
     at = stored(at.join(keys, "key", "left_semi"))
 
     segs = at.groupBy("key", "seg").agg(F.count("*").alias("m"), F.min(F.struct("doc", "lo", "n")).alias("x"))
-    segs = segs.join(at.select("key", "seg").distinct().groupBy("key").agg(F.count("*").alias("variants")), "key")
+    segs = stored(segs)
+    segs = segs.join(stored(segs.groupBy("key").agg(F.count("*").alias("variants"))), "key")
     segs = segs.groupBy("x.doc").agg(F.collect_list(F.struct("key", "seg", "m", "variants", "x.lo", "x.n")).alias("segs"))
     whole = d.select(doc, F.col("text").cast("binary").alias("data"))
     part = lambda s: F.struct(*[s[c].alias(c) for c in ("key", "seg", "m", "variants")], F.substring("data", s["lo"] + 1, s["n"] + (LENGTH - 1)).alias("part"))
