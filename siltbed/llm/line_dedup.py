@@ -4,8 +4,9 @@ A line is its words. Two lines are near if one word substituted, inserted or del
 longer has at least five words (a fifth of it, at most); shorter lines must be equal. A line goes if an equal or near
 line stands earlier in (doc_id, line number) order, kept or not.
 
-Equal lines are first summed up to their earliest place. Lines that differ by one word share the first or the last half
-of the shorter, so a line that shares no half has no near line and emits nothing. The others emit their deletion
+Equal lines are first summed up to their earliest place. Lines that differ by one word share their first or their last
+words, as many as the greatest power of two in half the shorter, so a line that shares neither end has no near line
+and emits nothing. The others emit their deletion
 variants as hashed keys: the xor of one hash per word and place, which a window adds up in linear time. A key's lines
 are summed up to their earliest, never paired with each other, so a variant that a third of all lines share is a row
 per line. The earliest partner is then compared word by word.
@@ -16,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import cut, let, table, words
+from siltbed.llm.common import let, stored, table, words
 
 #: Least words of the longer line for one edit.
 LEAST = 5
+#: Kinds of keys: a line cut at a place, to meet lines cut at the same place; a line cut anywhere, and a whole line.
+CUT_HERE, CUT, WHOLE = 0, 1, 2
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,18 +30,13 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h")).alias("doc"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
 
 
-def _halves(w: Column) -> Column:
-    """Keys of the halves that a line shares with a near one, for the length of the shorter: its own or one less."""
-
-    def of(c: Column) -> list[Column]:
-        half = F.floor(c / 2).cast("int")
-        return [
-            F.xxhash64(F.lit("first"), c, F.slice(w, F.lit(1), half)),
-            F.xxhash64(F.lit("last"), c, F.slice(w, F.size(w) - (c - half) + 1, c - half)),
-        ]
-
+def _ends(w: Column) -> Column:
+    """Keys of the ends that a line shares with a near one; two of them, or four where a word less has shorter ends."""
     n = F.size(w)
-    return F.when(n >= LEAST, F.array(*of(n), *of(n - 1))).when(n == LEAST - 1, F.array(*of(n))).otherwise(F.array().cast("array<bigint>"))
+    p = lambda m: F.pow(2, F.floor(F.log2(m / 2) + 1e-9)).cast("int")
+    of = lambda k: [F.xxhash64(F.lit("first"), k, F.slice(w, F.lit(1), k)), F.xxhash64(F.lit("last"), k, F.slice(w, n - k + 1, k))]
+    both = F.when((n > LEAST - 1) & (p(n) != p(n - 1)), F.array(*of(p(n)), *of(p(n - 1)))).otherwise(F.array(*of(p(n))))
+    return F.when(n >= LEAST - 1, both).otherwise(F.array().cast("array<bigint>"))
 
 
 def _within_one(a: Column, b: Column) -> Column:
@@ -49,37 +47,39 @@ def _within_one(a: Column, b: Column) -> Column:
 
 
 def near_lines(first: DataFrame, docs: DataFrame) -> DataFrame:
-    """line, partner: for each distinct line (line, first, halves) with an earlier near line, the first place of the earliest."""
-    halves = first.select("line", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    alike = first.select("line", "first").join(halves.join(shared, "half", "left_semi").select("line").distinct(), "line")
-    by_doc = alike.groupBy("first.doc").agg(F.collect_list(F.struct("line", "first")).alias("found"))
-    alike = docs.join(by_doc, "doc").select(F.explode(F.transform("found", lambda x: F.struct(x["line"].alias("line"), x["first"].alias("first"), words(F.get("lines", x["first"]["no"])).alias("w")))).alias("x"))
-    alike = cut(alike.select("x.*"))
-
-    w = alike.select("line", "first", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
-    w = w.select("line", "first", "n", "at", F.xxhash64("word", "at").alias("a"), F.xxhash64("word", F.col("at") - 1).alias("b"))
-    along = Window.partitionBy("line").orderBy("at")
+    """h1 and partner of each distinct line (line, first, ends) with an earlier near line: the earliest's place and h1.
+
+    Of the lines that share an end, words travel as 64-bit hashes. Keys travel without their lines' places until
+    those that one line alone has are gone.
+    """
+    ends = first.select(F.col("line.h1").alias("h1"), F.explode("ends").alias("end"))
+    shared = stored(ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end"))
+    some = stored(ends.join(shared, "end", "left_semi").select("h1").distinct())
+    places = stored(first.select("line.h1", "first").join(some, "h1", "left_semi"))
+    by_doc = places.groupBy("first.doc").agg(F.collect_list(F.struct("h1", "first.no")).alias("found"))
+    hashed = lambda x: F.struct(x["h1"].alias("h1"), F.transform(words(F.get("lines", x["no"])), lambda t: F.xxhash64(t)).alias("w"))
+    # read by several consumers through one exchange, as is the exchange of the texts
+    alike = docs.join(by_doc, "doc").select(F.explode(F.transform("found", hashed)).alias("x")).select("x.h1", "x.w").repartition("h1")
+
+    at = alike.select("h1", F.size("w").alias("n"), F.posexplode("w").alias("at", "x"))
+    at = at.select("h1", "n", "at", F.xxhash64("x", "at").alias("a"), F.xxhash64("x", F.col("at") - 1).alias("b"))
+    along = Window.partitionBy("h1").orderBy("at")
     xor = lambda c, end: F.coalesce(F.expr(f"bit_xor({c})").over(along.rowsBetween(Window.unboundedPreceding, end)), F.lit(0).cast("long"))
-    whole = xor("a", Window.unboundedFollowing)
-    without = xor("a", -1).bitwiseXOR(xor("b", Window.unboundedFollowing)).bitwiseXOR(xor("b", Window.currentRow))
-    key = lambda v, rest, at, is_whole: F.struct(v.alias("v"), rest.alias("rest"), at.alias("at"), F.lit(is_whole).alias("whole"))
-    none = F.lit(-1)
-    keys = F.concat(
-        F.when(F.col("n") >= LEAST, F.array(key(F.col("without"), F.col("n") - 1, F.col("at"), False), key(F.col("without"), F.col("n") - 1, none, False))).otherwise(F.array().cast("array<struct<v:bigint,rest:int,at:int,whole:boolean>>")),
-        F.when(F.col("at") == 0, F.array(key(F.col("all"), F.col("n"), none, True))).otherwise(F.array().cast("array<struct<v:bigint,rest:int,at:int,whole:boolean>>")),
-    )
-    kv = w.withColumn("without", without).withColumn("all", whole).select("line", "first", F.explode(keys).alias("k")).select("line", "first", "k.*")
-    kv = cut(kv)
-    earliest = kv.groupBy("v", "rest", "at").agg(
-        F.min(F.when(F.col("whole"), F.col("first"))).alias("of_whole"), F.min(F.when(~F.col("whole"), F.col("first"))).alias("of_cut"), F.count("*").alias("n")
-    ).where("n > 1")
-    partner = F.when((F.col("at") >= 0) | F.col("whole"), F.col("of_cut")).otherwise(F.col("of_whole"))
-    pairs = kv.join(earliest.drop("n"), ["v", "rest", "at"]).select("line", "first", partner.alias("partner")).where("partner < first")
-    pairs = pairs.groupBy("line").agg(F.min("partner").alias("partner"))
-    own = alike.select("line", F.col("w").alias("w1"))
-    other = alike.select(F.col("first").alias("partner"), F.col("w").alias("w2"))
-    return pairs.join(own, "line").join(other, "partner").where(_within_one(F.col("w1"), F.col("w2"))).select("line", "partner")
+    at = at.select("*", xor("a", Window.unboundedFollowing).alias("whole"), xor("a", -1).bitwiseXOR(xor("b", Window.unboundedFollowing)).bitwiseXOR(xor("b", Window.currentRow)).alias("cut"))
+    key = lambda v, length, place, kind: F.struct(F.xxhash64(v, length, place).alias("k"), F.lit(kind).alias("kind"))
+    none = F.array().cast("array<struct<k:bigint,kind:int>>")
+    cuts = F.array(key("cut", F.col("n") - 1, F.col("at"), CUT_HERE), key("cut", F.col("n") - 1, F.lit(-1), CUT))
+    keys = F.concat(F.when(F.col("n") >= LEAST, cuts).otherwise(none), F.when(F.col("at") == 0, F.array(key("whole", F.col("n"), F.lit(-1), WHOLE))).otherwise(none))
+    keys = at.select("h1", F.explode(keys).alias("x")).select("x.k", "x.kind", "h1")
+    common = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    keys = keys.join(common, "k", "left_semi").join(places, "h1").select("k", "kind", F.struct("first", "h1").alias("at"))
+    earliest = keys.groupBy("k").agg(F.min(F.when(F.col("kind") == WHOLE, F.col("at"))).alias("of_whole"), F.min(F.when(F.col("kind") != WHOLE, F.col("at"))).alias("of_cut"))
+    partner = F.when(F.col("kind") == CUT, F.col("of_whole")).otherwise(F.col("of_cut"))
+    pairs = keys.join(earliest, "k").select("at", partner.alias("partner")).where("partner.first < at.first")
+    pairs = pairs.groupBy("at.h1").agg(F.min("partner").alias("partner"))
+    other = alike.select(F.col("h1").alias("h2"), F.col("w").alias("w2"))
+    pairs = pairs.join(alike, "h1").join(other, F.col("partner.h1") == F.col("h2"))
+    return pairs.where(_within_one(F.col("w"), F.col("w2"))).select("h1", "partner")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,11 +92,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     d = _lines(docs, id_col, text_col)
     row = lambda line, no: let(words(line), lambda w: F.struct(
-        no.alias("no"), F.size(w).alias("n"), F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2")).alias("line"), _halves(w).alias("halves"),
+        no.alias("no"), F.size(w).alias("n"), F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2")).alias("line"), _ends(w).alias("ends"),
     ))
     lines = d.select("doc", F.explode(F.transform("lines", row)).alias("x")).where("x.n > 0")
-    first = cut(lines.groupBy("x.line").agg(F.min(F.struct("doc", "x.no")).alias("first"), F.first("x.halves").alias("halves")))
-    kept = first.select("line", "first").join(near_lines(first, d).select("line"), "line", "left_anti")
+    first = stored(lines.groupBy("x.line").agg(F.min(F.struct("doc", "x.no")).alias("first"), F.first("x.ends").alias("ends")))
+    kept = first.select("line.h1", "first").join(near_lines(first, d).select("h1"), "h1", "left_anti")
     kept = kept.groupBy("first.doc").agg(F.collect_list("first.no").alias("kept"))
     out = d.join(kept, "doc", "left").withColumn("kept", F.sort_array(F.coalesce("kept", F.array().cast("array<int>"))))
     blank = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
