@@ -28,9 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated and near-repeated lines but for the earliest, and documents that keep no line."""
-    found = line_dedup.dedup_lines(docs).where("n_lines > n_removed").select("doc_id", "text_hash", "clean_text").distinct()
-    rest = docs.withColumn("text_hash", F.xxhash64("text")).drop("text")
-    return _with_text(rest.join(found, ["doc_id", "text_hash"]), F.col("clean_text"))
+    found = line_dedup.dedup_lines(docs, also=("lang", "source")).where("n_lines > n_removed")
+    return _with_text(found, F.col("clean_text"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,9 +25,10 @@ LEAST = 5
 CUT_HERE, CUT, WHOLE = 0, 1, 2
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...]) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h")).alias("doc"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
+    more = [F.col(c).alias(f"also_{c}") for c in also]
+    return docs.select(F.struct(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), *more).alias("doc"), F.split(F.coalesce(text, F.lit("")), "\n").alias("lines"))
 
 
 def _ends(w: Column) -> Column:
@@ -82,15 +83,16 @@ def near_lines(first: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.where(_within_one(F.col("w"), F.col("w2"))).select("h1", "partner")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines (with a word), n_removed, kept_lines (numbers from 0) and clean_text, a row per input row.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines (with a word), n_removed, kept_lines (numbers from 0), clean_text and also, a row per input row.
 
     Lines without a word stay where they are and count for nothing. A null text has no lines and an empty
     clean_text. Rows with the same id and text are one document: each keeps what the document keeps. Rows that share
-    only the id come in the order of a hash of their texts; null ids come first. Other columns are dropped. An empty
-    table gives an empty table.
+    only the id come in the order of a hash of their texts; null ids come first. The columns named by also, short and
+    comparable, are part of a document's key and so come through without a shuffle of the texts more: rows that
+    differ in them are different documents. Other columns are dropped. An empty table gives an empty table.
     """
-    d = _lines(docs, id_col, text_col)
+    d = _lines(docs, id_col, text_col, also)
     row = lambda line, no: let(words(line), lambda w: F.struct(
         no.alias("no"), F.size(w).alias("n"), F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(7), w).alias("h2")).alias("line"), _ends(w).alias("ends"),
     ))
@@ -103,7 +105,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = out.withColumn("blank", blank)
     stay = F.transform(F.sort_array(F.concat("kept", "blank")), lambda i: F.get("lines", i))
     n_lines = (F.size("lines") - F.size("blank")).cast("long")
-    return out.select(F.col("doc.doc_id").alias("doc_id"), n_lines.alias("n_lines"), (n_lines - F.size("kept")).alias("n_removed"), F.col("kept").alias("kept_lines"), F.array_join(stay, "\n").alias("clean_text"), F.col("doc.h").alias("text_hash"))
+    return out.select(F.col("doc.doc_id").alias("doc_id"), n_lines.alias("n_lines"), (n_lines - F.size("kept")).alias("n_removed"), F.col("kept").alias("kept_lines"), F.array_join(stay, "\n").alias("clean_text"), *[F.col(f"doc.also_{c}").alias(c) for c in also])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
