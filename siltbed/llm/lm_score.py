@@ -1,9 +1,12 @@
 """Operator 5: cross-entropy difference of a target and a background n-gram model.
 
-Both models are trigram models over one vocabulary, the 256 bytes of UTF-8, smoothed alike. The background model counts
-every document, the target model those of the target; a document's score is the mean over its tokens of target loss
-minus background loss, so lower means closer to the target. A model has at most 2**24 counts whatever the
-corpus: that bounds what is broadcast.
+Both models have one vocabulary, the 256 bytes of UTF-8, and are smoothed alike: five-byte counts, backed by three-byte
+counts, backed by single bytes. The background model counts every document, the target model those of the target; a
+document's score is the mean over its tokens of target loss minus background loss, so lower means closer to the target.
+
+The models live in tables, never on the driver: their rows grow with the corpus. Documents are dealt into blocks of a
+bounded number of characters. A block asks for the n-grams it holds, each once per batch; the requests summed up by
+n-gram are the counts, and joined with the models they are the answers, which each block's documents are scored by.
 """
 
 from __future__ import annotations
@@ -12,93 +15,112 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.llm.common import cut, table
+from siltbed.llm.common import stored, table
 
+#: Tokens of an n-gram.
+ORDER = 5
 #: Weight of the shorter context in each order's estimate.
 PRIOR = 5.0
-CELLS = 1 << 24
+#: A block's texts have about so many characters, as a power of two; a longer text has a block of its own.
+BLOCK_BITS = 23
 
 
-def _codes(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """The trigram of every byte, and how many bytes each text has; a text is led by two line ends."""
-    parts = [b"\n\n" + t.encode("utf-8", "surrogatepass") if t else b"\n\n" for t in texts]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) - 2
-    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
-    if len(b) < 3:
-        return np.zeros(0, np.uint32), sizes
-    codes = np.empty(len(b), np.uint32)
-    codes[2:] = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
-    keep = np.ones(len(b), bool)
-    starts = np.cumsum(sizes + 2) - sizes - 2
-    keep[starts] = keep[starts + 1] = False
-    return codes[keep], sizes
+def _codes(text: str | None) -> np.ndarray:
+    """The n-gram that ends in each byte of a text, which is led by line ends."""
+    b = np.frombuffer(b"\n" * (ORDER - 1) + (text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    codes = np.zeros(len(b) - ORDER + 1, np.int64)
+    for i in range(ORDER):
+        codes <<= 8
+        codes |= b[i : i + len(codes)]
+    return codes
 
 
-def _chunks(batches: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        group = batch["text"].str.len().fillna(0).cumsum().to_numpy() // chars
-        for g in np.unique(group):
-            yield batch[group == g]
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(CELLS, np.int64)  # pages that no trigram touches are never made
-    for batch in _chunks(batches):
-        codes, _ = _codes(batch["text"])
-        np.add.at(counts, codes, 1)
-    seen = np.flatnonzero(counts)
-    yield pd.DataFrame({"code": seen.astype(np.int32), "n": counts[seen]})
-
-
-def trigram_counts(docs: DataFrame) -> DataFrame:
-    return docs.select("text").mapInPandas(_count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _losses(counts: DataFrame, n: str) -> DataFrame:
-    """code with the model's loss, for every code of counts; n names the column of counts."""
-    three = counts.select("code", F.col(n).alias("c3"), F.shiftright("code", 8).alias("ab"), F.col("code").bitwiseAND(0xFFFF).alias("bc"))
-    three = three.withColumn("b", F.shiftright("bc", 8)).withColumn("c", F.col("bc").bitwiseAND(0xFF))
-    total = lambda *by: three.groupBy(*by).agg(F.sum("c3").alias("_".join(by)))
-    t = three.join(total("ab").withColumnRenamed("ab", "k").toDF("ab", "n_ab"), "ab").join(total("bc").toDF("bc", "n_bc"), "bc")
-    t = t.join(total("b").toDF("b", "n_b"), "b").join(total("c").toDF("c", "n_c"), "c").crossJoin(F.broadcast(three.agg(F.sum("c3").alias("n"))))
-    p1 = (F.col("n_c") + 1) / (F.col("n") + 256)
-    p2 = (F.col("n_bc") + PRIOR * p1) / (F.col("n_b") + PRIOR)
-    p3 = (F.col("c3") + PRIOR * p2) / (F.col("n_ab") + PRIOR)
-    return t.select("code", (-F.log(p3)).alias(f"loss_{n}"))
-
-
-def score(docs: DataFrame, in_target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        for block, g in batch.groupby("block"):
+            chars = g["text"].str.len().fillna(0).cumsum() // (1 << BLOCK_BITS)
+            for _, part in g.groupby(chars):
+                each = [_codes(t) for t in part["text"]]
+                code, n = np.unique(np.concatenate(each), return_counts=True)
+                of_target = np.zeros(len(code), np.int64)
+                chosen = [c for c, t in zip(each, part["is_target"], strict=True) if t]
+                if chosen:
+                    some, counts = np.unique(np.concatenate(chosen), return_counts=True)
+                    of_target[np.searchsorted(code, some)] = counts
+                yield pd.DataFrame({"code": code, "block": block, "background": n, "target": of_target})
+
+
+def _loss(n: str) -> Column:
+    """The loss of a model, of whose counts n is the column's prefix; contexts are windows over the same prefix."""
+    p1 = (F.col(f"{n}_c") + 1) / (F.col(f"{n}_all") + 256)
+    p3 = (F.col(f"{n}_3") + PRIOR * p1) / (F.col(f"{n}_ab") + PRIOR)
+    p5 = (F.col(n) + PRIOR * p3) / (F.col(f"{n}_context") + PRIOR)
+    return -F.log(p5)
+
+
+def model(counts: DataFrame) -> DataFrame:
+    """code and d, the target loss minus the background loss, for every n-gram of counts (code, background, target)."""
+    both = ("background", "target")
+    low = counts.groupBy(F.col("code").bitwiseAND(0xFFFFFF).alias("abc")).agg(*[F.sum(n).alias(f"{n}_3") for n in both])
+    low = low.withColumn("ab", F.shiftright("abc", 8)).withColumn("c", F.col("abc").bitwiseAND(0xFF))
+    last = low.groupBy("c").agg(*[F.sum(f"{n}_3").alias(f"{n}_c") for n in both])  # 256 rows
+    pairs = low.groupBy("ab").agg(*[F.sum(f"{n}_3").alias(f"{n}_ab") for n in both])  # 65,536 rows
+    everything = last.agg(*[F.sum(f"{n}_c").alias(f"{n}_all") for n in both])
+    low = low.join(F.broadcast(pairs), "ab").join(F.broadcast(last.crossJoin(F.broadcast(everything))), "c").drop("ab", "c")
+    prefix = Window.partitionBy(F.shiftright("code", 8))  # 256 rows at most
+    high = counts.select("*", F.col("code").bitwiseAND(0xFFFFFF).alias("abc"), *[F.sum(n).over(prefix).alias(f"{n}_context") for n in both])
+    return high.join(low, "abc").select("code", (_loss("target") - _loss("background")).alias("d"))
+
+
+def _score(key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+    code = answers["code"].to_numpy()
+    order = np.argsort(code, kind="stable")
+    code, d = code[order], answers["d"].to_numpy()[order]
+    sums, sizes = [], []
+    for text in texts["text"]:
+        own = _codes(text)
+        sizes.append(len(own))
+        if len(own):
+            at = np.minimum(np.searchsorted(code, own), len(code) - 1) if len(code) else None
+            if at is None or (code[at] != own).any():
+                raise RuntimeError("the documents read differently the second time; pass steady=False")
+            sums.append(d[at].sum())
+        else:
+            sums.append(0.0)
+    mean = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
+    return pd.DataFrame({"doc_id": texts["doc_id"], "n_tokens": sizes, "score": pd.Series(mean, dtype=object, index=texts.index)})
+
+
+def score(docs: DataFrame, in_target: DataFrame, id_col: str = "doc_id", text_col: str = "text", steady: bool = False) -> DataFrame:
     """doc_id, n_tokens and score, a row per input row; in_target (doc_id) names the target's documents.
 
     An id named twice counts once; null ids are never of the target. Repeated documents count as often as they occur.
     Null and empty texts have no tokens and a null score. Without a target, the target model is the uniform one
     that its smoothing leaves. Other columns are dropped; an empty table gives an empty table.
+
+    The documents are read twice and must come alike, in the same partitions, as from files. Give steady for such
+    documents alone; others are written to the shared folder first.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    target = d.join(in_target.select("doc_id").distinct(), "doc_id", "left_semi")
-    counts = trigram_counts(d).withColumnRenamed("n", "background").join(trigram_counts(target).withColumnRenamed("n", "target"), "code", "left")
-    counts = cut(counts.withColumn("target", F.coalesce("target", F.lit(0).cast("long"))))
-    model = _losses(counts, "target").join(_losses(counts, "background"), "code").select("code", (F.col("loss_target") - F.col("loss_background")).alias("d"))
-    model = model.toPandas()  # at most CELLS rows
-    spread = docs.sparkSession.sparkContext.broadcast((model["code"].to_numpy(np.int32), model["d"].to_numpy(np.float64)))
-
-    def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dense = np.zeros(CELLS, np.float64)
-        dense[spread.value[0]] = spread.value[1]
-        for batch in _chunks(batches):
-            codes, sizes = _codes(batch["text"])
-            sums = np.concatenate(([0.0], np.cumsum(dense[codes])))
-            ends = np.cumsum(sizes)
-            with np.errstate(invalid="ignore"):
-                mean = (sums[ends] - sums[ends - sizes]) / sizes
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "n_tokens": sizes, "score": pd.Series(mean).astype(object).where(sizes > 0, None)})
-
-    return d.mapInPandas(scores, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, score double")
+    d = (d if steady else stored(d)).withColumn("row", F.monotonically_increasing_id())
+    # texts of like length form blocks by their places, so a block is bounded in characters, not only in rows
+    bits = F.least(F.ceil(F.log2(F.coalesce(F.length("text"), F.lit(0)) + 1)), F.lit(BLOCK_BITS)).cast("int")
+    place = F.col("row").bitwiseAND((1 << 33) - 1)
+    d = d.withColumn("bits", bits).withColumn("place", place)
+    d = d.select("doc_id", "text", F.xxhash64(F.shiftright("row", 33), "bits", F.expr(f"shiftright(place, {BLOCK_BITS} - bits)")).alias("block"))
+
+    flag = in_target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
+    flagged = d.join(flag, "doc_id", "left").select("text", "block", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    asked = stored(flagged.where("text <> ''").mapInPandas(_ask, "code long, block long, background long, target long"))
+    counts = stored(asked.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
+    answers = asked.select("code", "block").distinct().join(model(counts), "code").select("block", "code", "d")
+    id_type = d.schema["doc_id"].dataType.simpleString()
+    return d.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, f"doc_id {id_type}, n_tokens long, score double")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good: Column = F.col("quality") == 1
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(good))
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(good), steady=True)
