@@ -24,8 +24,10 @@ from siltbed.llm.common import stored, table
 ORDER = 5
 #: Weight of the shorter context in each order's estimate.
 PRIOR = 5.0
-#: A block's texts have about so many characters, as a power of two; a longer text has a block of its own.
-BLOCK_BITS = 23
+#: A block's texts have at most so many characters, as a power of two; a longer text has a block of its own.
+BLOCK_BITS = 24
+#: Texts of up to 2**SHORT_BITS characters share blocks; longer ones share them with those up to eight times as long.
+SHORT_BITS = 13
 
 
 def _codes(text: str | None) -> np.ndarray:
@@ -107,7 +109,8 @@ def score(docs: DataFrame, in_target: DataFrame, id_col: str = "doc_id", text_co
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = (d if steady else stored(d)).withColumn("row", F.monotonically_increasing_id())
     # texts of like length form blocks by their places, so a block is bounded in characters, not only in rows
-    bits = F.least(F.ceil(F.log2(F.coalesce(F.length("text"), F.lit(0)) + 1)), F.lit(BLOCK_BITS)).cast("int")
+    longer = F.ceil((F.log2(F.coalesce(F.length("text"), F.lit(0)) + 1) - SHORT_BITS) / 3)
+    bits = F.least(SHORT_BITS + 3 * F.greatest(longer, F.lit(0)), F.lit(BLOCK_BITS)).cast("int")
     place = F.col("row").bitwiseAND((1 << 33) - 1)
     d = d.withColumn("bits", bits).withColumn("place", place)
     d = d.select("doc_id", "text", F.xxhash64(F.shiftright("row", 33), "bits", F.expr(f"shiftright(place, {BLOCK_BITS} - bits)")).alias("block"))
@@ -116,7 +119,8 @@ def score(docs: DataFrame, in_target: DataFrame, id_col: str = "doc_id", text_co
     flagged = d.join(flag, "doc_id", "left").select("text", "block", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     asked = stored(flagged.where("text <> ''").mapInPandas(_ask, "code long, block long, background long, target long"))
     counts = stored(asked.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
-    answers = asked.select("code", "block").distinct().join(model(counts), "code").select("block", "code", "d")
+    # a block that asks twice, from two batches, gets the same answer twice
+    answers = asked.select("code", "block").join(model(counts), "code").select("block", "code", "d")
     id_type = d.schema["doc_id"].dataType.simpleString()
     return d.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, f"doc_id {id_type}, n_tokens long, score double")
 
