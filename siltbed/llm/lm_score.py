@@ -1,6 +1,6 @@
 """Operator 5: cross-entropy difference of a target and a background n-gram model.
 
-Both models have one vocabulary, the 256 bytes of UTF-8, and are smoothed alike: five-byte counts, backed by three-byte
+Both models have one vocabulary, the 256 bytes of UTF-8, and are smoothed alike: four-byte counts, backed by three-byte
 counts, backed by single bytes. The background model counts every document, the target model those of the target; a
 document's score is the mean over its tokens of target loss minus background loss, so lower means closer to the target.
 
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from siltbed.llm.common import stored, table
 
 #: Tokens of an n-gram.
-ORDER = 5
+ORDER = 4
+#: So many ids of the target are broadcast; more are joined by a shuffle.
+MOST_IDS = 1_000_000
 #: Weight of the shorter context in each order's estimate.
 PRIOR = 5.0
 #: A block's texts have at most so many characters, as a power of two; a longer text has a block of its own.
@@ -59,8 +61,7 @@ def _loss(n: str) -> Column:
     """The loss of a model, of whose counts n is the column's prefix; contexts are windows over the same prefix."""
     p1 = (F.col(f"{n}_c") + 1) / (F.col(f"{n}_all") + 256)
     p3 = (F.col(f"{n}_3") + PRIOR * p1) / (F.col(f"{n}_ab") + PRIOR)
-    p5 = (F.col(n) + PRIOR * p3) / (F.col(f"{n}_context") + PRIOR)
-    return -F.log(p5)
+    return -F.log((F.col(n) + PRIOR * p3) / (F.col(f"{n}_context") + PRIOR))
 
 
 def model(counts: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def _score(key: tuple, texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFra
     return pd.DataFrame({"doc_id": texts["doc_id"], "n_tokens": sizes, "score": pd.Series(mean, dtype=object, index=texts.index)})
 
 
-def score(docs: DataFrame, in_target: DataFrame, id_col: str = "doc_id", text_col: str = "text", steady: bool = False) -> DataFrame:
+def score(docs: DataFrame, in_target: DataFrame, id_col: str = "doc_id", text_col: str = "text", steady: bool = False, most_ids: int = MOST_IDS) -> DataFrame:
     """doc_id, n_tokens and score, a row per input row; in_target (doc_id) names the target's documents.
 
     An id named twice counts once; null ids are never of the target. Repeated documents count as often as they occur.
@@ -116,7 +117,10 @@ def score(docs: DataFrame, in_target: DataFrame, id_col: str = "doc_id", text_co
     d = d.select("doc_id", "text", F.xxhash64(F.shiftright("row", 33), "bits", F.expr(f"shiftright(place, {BLOCK_BITS} - bits)")).alias("block"))
 
     flag = in_target.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("is_target", F.lit(True))
-    flagged = d.join(flag, "doc_id", "left").select("text", "block", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    few = flag.limit(most_ids + 1).count() <= most_ids
+    flagged = d.join(F.broadcast(flag) if few else flag, "doc_id", "left").select("text", "block", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    if not few:  # the join has scattered the blocks
+        flagged = flagged.repartition("block").sortWithinPartitions("block")
     asked = stored(flagged.where("text <> ''").mapInPandas(_ask, "code long, block long, background long, target long"))
     counts = stored(asked.groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target")))
     # a block that asks twice, from two batches, gets the same answer twice

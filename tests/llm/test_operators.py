@@ -266,9 +266,11 @@ def test_lm_score_separates(spark):
     assert got[got.index % 2 == 1].max() < got[got.index % 2 == 0].min()
 
 
-def test_lm_score(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_lm_score(spark, most):
     """Scores against the same models built from dictionaries."""
     rows = [(i, t) for i, t in enumerate(prose(60, 12))] + [(None, "a tion"), (3, "again"), (70, "é"), (71, None), (72, "")]
+    top = lm_score.ORDER
     named = {i for i in range(0, 60, 3)}
     target = spark.createDataFrame([(i,) for i in [*named, 0, None]], "doc_id long")
 
@@ -277,9 +279,9 @@ def test_lm_score(spark):
         return [b[i - n + 1 : i + 1] for i in range(4, len(b))]
 
     def losses(texts):
-        n = {k: collections.Counter(g for t in texts for g in grams(t, k)) for k in (1, 3, 5)}
-        ab, abcd = (collections.Counter({}) for _ in range(2))
-        for k, c in ((3, ab), (5, abcd)):
+        n = {k: collections.Counter(g for t in texts for g in grams(t, k)) for k in (1, 3, top)}
+        ab, context = (collections.Counter({}) for _ in range(2))
+        for k, c in ((3, ab), (top, context)):
             for g, m in n[k].items():
                 c[g[:-1]] += m
         total = sum(n[1].values())
@@ -287,13 +289,13 @@ def test_lm_score(spark):
         def loss(g):
             p = (n[1][g[-1:]] + 1) / (total + 256)
             p = (n[3][g[-3:]] + lm_score.PRIOR * p) / (ab[g[-3:-1]] + lm_score.PRIOR)
-            return -np.log((n[5][g] + lm_score.PRIOR * p) / (abcd[g[:-1]] + lm_score.PRIOR))
+            return -np.log((n[top][g] + lm_score.PRIOR * p) / (context[g[:-1]] + lm_score.PRIOR))
 
         return loss
 
     of_target, of_all = losses([t for i, t in rows if i in named]), losses([t for _, t in rows])
-    want = [(i, len(grams(t, 5)), np.mean([of_target(g) - of_all(g) for g in grams(t, 5)]) if t else None) for i, t in rows]
-    got = [tuple(r) for r in lm_score.score(docs(spark, rows), target).collect()]
+    want = [(i, len(grams(t, top)), np.mean([of_target(g) - of_all(g) for g in grams(t, top)]) if t else None) for i, t in rows]
+    got = [tuple(r) for r in lm_score.score(docs(spark, rows), target, most_ids=most).collect()]
     by = lambda r: (r[0] is None, r[0] or 0, r[1])
     for g, w in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
         assert g[:2] == w[:2] and (g[2] == w[2] if w[2] is None else abs(g[2] - w[2]) < 1e-9)
