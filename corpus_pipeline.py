@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltbed.llm import decontaminate, line_dedup, line_quality, mixing, simhash
+from siltbed.llm import decontaminate, line_dedup, line_quality, mixing, near_copies
 from siltbed.llm.common import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,9 +33,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    first = simhash.simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps the document with the smallest doc_id of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    found = near_copies.first_copies(docs, "doc_id").where("key = first").select(F.col("key").alias("doc_id")).distinct()
+    return docs.join(found, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

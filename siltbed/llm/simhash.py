@@ -30,18 +30,22 @@ LEAVES = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
-    """The signed 64-bit fingerprint of one text; no words give 0."""
+def shingle_hashes(text: str | None, size: int = 4) -> np.ndarray:
+    """A uint64 hash of each run of size words, or of all words of a shorter text; no words give none."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes.split() knows ASCII blanks alone
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(size, len(words))
     bounds = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in bounds), np.uint64, len(words) - k + 1)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in bounds), np.uint64, len(words) - k + 1)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of shingle hashes; none give 0."""
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 65536):
         counts += np.unpackbits(hashes[i : i + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -49,6 +53,11 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int(bits.view("<i8")[0])
 
 
+def fingerprint(text: str | None, size: int = 4) -> int:
+    """The signed 64-bit fingerprint of one text; no words give 0."""
+    return fingerprint_of(shingle_hashes(text, size))
+
+
 @F.pandas_udf(LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
