@@ -60,7 +60,8 @@ def near_lines(first: DataFrame, docs: DataFrame) -> DataFrame:
     by_doc = places.groupBy("first.doc").agg(F.collect_list(F.struct("h1", "first.no")).alias("found"))
     hashed = lambda x: F.struct(x["h1"].alias("h1"), F.transform(words(F.get("lines", x["no"])), lambda t: F.xxhash64(t)).alias("w"))
     # read by several consumers through one exchange, as is the exchange of the texts
-    alike = docs.join(by_doc, "doc").select(F.explode(F.transform("found", hashed)).alias("x")).select("x.h1", "x.w").repartition("h1")
+    # rows of one document have equal lines; only one of each may be summed up
+    alike = docs.join(by_doc, "doc").select(F.explode(F.transform("found", hashed)).alias("x")).select("x.h1", "x.w").groupBy("h1").agg(F.first("w").alias("w"))
 
     at = alike.select("h1", F.size("w").alias("n"), F.posexplode("w").alias("at", "x"))
     at = at.select("h1", "n", "at", F.xxhash64("x", "at").alias("a"), F.xxhash64("x", F.col("at") - 1).alias("b"))

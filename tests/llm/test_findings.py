@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from siltbed.llm import line_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -33,3 +34,13 @@ def test_near_copy_stage(spark):
     got = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, corpus(spark, rows), "").collect()}
     assert got == {i for i, k in enumerate(root) if i == k}
     assert corpus_pipeline.simhash_stage(spark, corpus(spark, []), "").count() == 0
+
+
+def test_line_dedup_repeated_rows(spark):
+    """Rows that occur two or three times keep the near links of their lines."""
+    line = "one two three four five six seven eight nine ten"
+    rows = [(1, line + "\nown words of the first document"), (2, line.replace("four", "4")), (3, line + " more"), (4, "a line that is near to none of them")]
+    want = {1: [0, 1], 2: [], 3: [], 4: [0]}
+    for times in (2, 3):
+        got = line_dedup.dedup_lines(corpus(spark, rows[:1] * times + rows[1:] + rows[1:2])).collect()
+        assert len(got) == times + 4 and all(r.kept_lines == want[r.doc_id] for r in got)
