@@ -32,16 +32,28 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _with_text(found, F.col("clean_text"))
 
 
+def _with_key(docs: DataFrame) -> DataFrame:
+    """docs with the key of a document: its id, null after all others, and a hash of its text; fields match null to null."""
+    return docs.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h")))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
-    found = near_copies.first_copies(docs, "doc_id").where("key = first").select(F.col("key").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps one document of each group of near copies: five-word shingles, Jaccard 0.8 or more.
+
+    It is the one with the smallest doc_id, then the smallest hash of the text; one with a null doc_id stays only if no
+    other is in its group. Different texts under one id are different documents. Of rows with the same id and text one
+    stays, of any lang and source they have.
+    """
+    d = _with_key(docs)
+    found = near_copies.first_copies(d).where("key = first").select("key").distinct()
+    return d.join(found, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Drops contaminated documents, also those with a null doc_id; other texts under the same id stay."""
+    d = _with_key(docs)
+    found = decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark"), id_col="key").where("contaminated")
+    return d.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,15 @@ def test_line_dedup_repeated_rows(spark):
     for times in (2, 3):
         got = line_dedup.dedup_lines(corpus(spark, rows[:1] * times + rows[1:] + rows[1:2])).collect()
         assert len(got) == times + 4 and all(r.kept_lines == want[r.doc_id] for r in got)
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    bench = "what does the old river carry down to the long cold sea at night"
+    own = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(None, own[0]), (1, own[1]), (1, own[1]), (2, own[2]), (2, own[3]), (None, own[3]), (None, bench), (3, bench + " then"), (3, own[0] + " x " + own[1])]
+    d = corpus(spark, rows)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.simhash_stage(spark, d, "").collect()), key=repr)
+    assert got == sorted([(None, own[0]), (1, own[1]), (2, own[2]), (2, own[3]), (3, bench + " then"), (3, rows[-1][1])], key=repr)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.decontamination_stage(spark, d, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([x for x in rows if bench not in x[1]], key=repr)
