@@ -266,41 +266,56 @@ def test_lm_score_separates(spark):
     assert got[got.index % 2 == 1].max() < got[got.index % 2 == 0].min()
 
 
-@pytest.mark.parametrize("most", [0, 1000])
+@pytest.mark.parametrize("most", [0, 10_000])
 def test_lm_score(spark, most):
-    """Scores against the same models built from dictionaries."""
-    rows = [(i, t) for i, t in enumerate(prose(60, 12))] + [(None, "a tion"), (3, "again"), (70, "é"), (71, None), (72, "")]
-    top = lm_score.ORDER
-    named = {i for i in range(0, 60, 3)}
+    """Scores against the same models, without the document itself, built from dictionaries."""
+    rows = [(i, t) for i, t in enumerate(prose(40, 12))] + [(None, "a tion"), (3, "again"), (70, "é"), (71, None), (72, ""), (73, "again"), (73, "again")]
+    named = {*range(0, 40, 3), 73}
     target = spark.createDataFrame([(i,) for i in [*named, 0, None]], "doc_id long")
 
     def grams(t, n):
-        b = b"\n" * 4 + (t or "").encode()
-        return [b[i - n + 1 : i + 1] for i in range(4, len(b))]
+        b = b"\n" * 3 + (t or "").encode()
+        return [b[i - n + 1 : i + 1] for i in range(3, len(b))]
 
-    def losses(texts):
-        n = {k: collections.Counter(g for t in texts for g in grams(t, k)) for k in (1, 3, top)}
-        ab, context = (collections.Counter({}) for _ in range(2))
-        for k, c in ((3, ab), (top, context)):
+    def loss(texts, scale):
+        n = {k: collections.Counter(g for t in texts for g in grams(t, k)) for k in (1, 3, 4)}
+        ab, context = (collections.Counter() for _ in range(2))
+        for k, c in ((3, ab), (4, context)):
             for g, m in n[k].items():
                 c[g[:-1]] += m
         total = sum(n[1].values())
 
-        def loss(g):
-            p = (n[1][g[-1:]] + 1) / (total + 256)
-            p = (n[3][g[-3:]] + lm_score.PRIOR * p) / (ab[g[-3:-1]] + lm_score.PRIOR)
-            return -np.log((n[top][g] + lm_score.PRIOR * p) / (context[g[:-1]] + lm_score.PRIOR))
-
-        return loss
-
-    of_target, of_all = losses([t for i, t in rows if i in named]), losses([t for _, t in rows])
-    want = [(i, len(grams(t, top)), np.mean([of_target(g) - of_all(g) for g in grams(t, top)]) if t else None) for i, t in rows]
-    got = [tuple(r) for r in lm_score.score(docs(spark, rows), target, most_ids=most).collect()]
+        def of(g):
+            p = (scale * n[1][g[-1:]] + 1) / (scale * total + 256)
+            p = (scale * n[3][g[-3:]] + lm_score.PRIOR * p) / (scale * ab[g[-3:-1]] + lm_score.PRIOR)
+            return -np.log((scale * n[4][g] + lm_score.PRIOR * p) / (scale * context[g[:-1]] + lm_score.PRIOR))
+
+        return of
+
+    tokens = lambda some: sum(len(grams(t, 1)) for t in some)
+    scale = tokens(t for i, t in rows if i in named) / tokens(t for _, t in rows)
+    want = []
+    for j, (i, t) in enumerate(rows):
+        rest = rows[:j] + rows[j + 1 :]
+        of_target, of_all = loss([x for k, x in rest if k in named], 1), loss([x for _, x in rest], scale)
+        want.append((i, len(grams(t, 4)), np.mean([of_target(g) - of_all(g) for g in grams(t, 4)]) if t else None))
+    got = [tuple(r) for r in lm_score.score(docs(spark, rows), target, most_bytes=most).collect()]
     by = lambda r: (r[0] is None, r[0] or 0, r[1])
     for g, w in zip(sorted(got, key=by), sorted(want, key=by), strict=True):
         assert g[:2] == w[:2] and (g[2] == w[2] if w[2] is None else abs(g[2] - w[2]) < 1e-9)
 
 
+def test_lm_score_random_target(spark):
+    """A target named at random is not told apart from the rest, as it would be by models that have counted it."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text <> ''").dropDuplicates(["text"])
+    got = lm_score.score(d, d.where("pmod(xxhash64(doc_id, 5), 6) = 0")).toPandas().dropna()
+    chosen = d.where("pmod(xxhash64(doc_id, 5), 6) = 0").select("doc_id").toPandas().doc_id
+    inside = got.doc_id.isin(chosen)
+    ranks = got.score.rank()
+    auc = (ranks[inside].sum() - inside.sum() * (inside.sum() + 1) / 2) / (inside.sum() * (~inside).sum())
+    assert 0.45 < auc < 0.55, auc
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
