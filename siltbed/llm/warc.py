@@ -1,4 +1,4 @@
-"""Operator 1: WARC derivatives. Each response record gives a metadata and a plain-text conversion record."""
+"""Operator 1: WARC derivatives. Each response record gives a metadata and, if its payload is text, a plain-text conversion record."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,19 +20,81 @@ from siltbed.llm.common import table
 
 RECORDS = "page_id {id}, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, headers array<struct<name:string,value:string>>, block binary"
 DATE = "2024-01-01T00:00:00Z"
-
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|title|head|body|section|article|header|footer|nav|main|aside|blockquote|pre|form|dd|dt|hr)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Bytes of blocks that a batch of read records has at most, but for the last one's.
+BATCH = 8 << 20
+
+#: Elements whose content is not text; comments and unclosed ones of these reach to the end of the page.
+HIDDEN = ("script", "style", "noscript", "template", "svg")
+#: Elements that begin or end a line.
+BLOCKS = frozenset(
+    "p div br li ul ol tr table h1 h2 h3 h4 h5 h6 title head body section article header footer nav main aside blockquote pre form dd dt hr".split()
+)
+#: Media types with text besides text/*.
+TEXTUAL = ("application/xhtml+xml", "application/xml", "application/json", "application/javascript")
+
+# each pattern is only matched at one place and takes what it has read, so a page is read in linear time
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HIDDEN_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I | re.A) for name in HIDDEN}
+
+
+def _tag(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes that begin at a place, the first of each name, and the place after the tag's end."""
+    found: dict[str, str] = {}
+    while m := _ATTRIBUTE.match(page, at):
+        found.setdefault(m[1].lower(), next((x for x in m.groups()[1:] if x is not None), ""))
+        at = m.end()
+    end = page.find(">", at)
+    return found, len(page) if end < 0 else end + 1
+
+
+def read_page(page: str) -> tuple[str, str | None, list[str]]:
+    """Text, title and links of a page: no scripts, styles or comments, a line per block, blanks folded, entities decoded."""
+    out: list[str] = []
+    links: list[str] = []
+    title: list[int] | None = None
+    at, closed = 0, page.rfind(">")  # no tag ends beyond that
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt > closed:
+            out.append(page[at:])
+            break
+        out.append(page[at:lt])
+        if page.startswith("<!--", lt):
+            at = page.find("-->", lt + 2) + 3
+            if at < 3:
+                break
+            out.append(" ")
+        elif page[lt + 1 : lt + 2] in ("!", "?"):
+            at = page.find(">", lt) + 1
+        elif m := _NAME.match(page, lt + 1):
+            name, opens = m[1].lower(), page[lt + 1] != "/"
+            attributes, at = _tag(page, m.end())
+            if name in BLOCKS:
+                out.append("\n")
+            if name == "a" and opens and "href" in attributes:
+                links.append(html.unescape(attributes["href"]).translate({13: None, 10: None}))
+            elif name == "title":
+                if opens:
+                    title = title or [len(out)]
+                elif title and len(title) == 1:
+                    title.append(len(out))
+            elif name in HIDDEN and opens:
+                end = _HIDDEN_END[name].search(page, at)
+                if not end:
+                    break
+                out.append(" ")
+                at = end.start()
+        else:
+            out.append("<")
+            at = lt + 1
+    lines = (" ".join(html.unescape(line).split()) for line in "".join(out).split("\n"))
+    named = " ".join(html.unescape("".join(out[title[0] : title[1]])).split()) if title and len(title) == 2 else None
+    return "\n".join(line for line in lines if line), named, links
 
 
 def plain_text(page: str) -> str:
-    """The text of a page: no scripts, styles or comments, a line per block, blanks folded, entities decoded."""
-    page = _BREAK.sub("\n", _DROPPED.sub(" ", page))
-    lines = (" ".join(html.unescape(line).split()) for line in _TAG.sub("", page).split("\n"))
-    return "\n".join(line for line in lines if line)
+    return read_page(page)[0]
 
 
 def digest(data: bytes) -> str:
@@ -48,56 +111,123 @@ def _record(page_id, kind: str, record_id: str, refers: str | None, uri: str | N
     return page_id, kind, record_id, refers, uri, date, [{"name": k, "value": v} for k, v in pairs if v is not None], block
 
 
-def _split_http(block: bytes) -> tuple[list[str], bytes]:
+def _value(pairs: list[tuple[str, str]], name: str) -> str | None:
+    """The first value of a header, whose name is of any case."""
+    return next((v for k, v in pairs if k.lower() == name), None)
+
+
+def _split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, headers and payload; a block that is no HTTP message is payload. Continued lines are joined."""
     head, found, body = block.partition(b"\r\n\r\n")
-    return (head.decode("latin-1").split("\r\n"), body) if found and head.startswith(b"HTTP/") else ([], block)
+    if not found:
+        head, found, body = block.partition(b"\n\n")
+    if not found or not head.startswith(b"HTTP/"):
+        return "", [], block
+    first, *lines = re.sub(r"\r?\n[ \t]+", " ", head.decode("latin-1")).splitlines()
+    return first, [(k.strip(), v.strip()) for k, colon, v in (x.partition(":") for x in lines) if colon], body
+
+
+def _dechunked(body: bytes) -> bytes:
+    """A chunked body's data, as far as its sizes can be read; one that does not begin with a size is returned as it is."""
+    out, f = [], io.BytesIO(body)
+    while line := f.readline():
+        try:
+            size = int(line.split(b";")[0].strip(), 16)
+        except ValueError:
+            return b"".join(out) if out else body
+        if size <= 0:
+            break
+        out.append(f.read(size))
+        f.readline()
+    return b"".join(out)
+
+
+def decoded(body: bytes, http: list[tuple[str, str]]) -> bytes | None:
+    """The payload without its transfer and content codings; None if a coding is unknown or broken."""
+    if "chunked" in (_value(http, "transfer-encoding") or "").lower():
+        body = _dechunked(body)
+    for coding in reversed([x.strip().lower() for x in (_value(http, "content-encoding") or "").split(",")]):
+        if coding in ("gzip", "x-gzip", "deflate"):
+            for bits in (47, -15):  # with a header of gzip or zlib, or raw
+                try:
+                    unzip = zlib.decompressobj(bits)
+                    body = unzip.decompress(body) + unzip.flush()
+                    break
+                except zlib.error:
+                    continue
+            else:
+                return None
+        elif coding not in ("", "identity"):
+            return None
+    return body
 
 
 def _derive(row) -> list[tuple]:
-    own = {} if row.headers is None else {h["name"]: h["value"] for h in row.headers}
+    own = [] if row.headers is None else [(h["name"] or "", h["value"] or "") for h in row.headers if h is not None]
     block = row.block or b""
-    http, body = _split_http(block)
-    kind = next((h.split(":", 1)[1].strip() for h in http[1:] if h.lower().startswith("content-type:")), "")
-    charset = (re.search(r"charset=\"?([\w-]+)", kind) or [None, "utf-8"])[1]
-    try:
-        page = body.decode(charset, "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
-    block_digest, payload_digest = own.get("WARC-Block-Digest", digest(block)), own.get("WARC-Payload-Digest", digest(body))
-    text = plain_text(page).encode("utf-8", "surrogatepass")
+    status, http, body = _split_http(block)
+    kind = _value(http, "content-type") or ""
+    media = kind.split(";")[0].strip().lower()
+    charset = re.search(r"charset=\s*\"?([\w-]+)", kind)
+    body_text = decoded(body, http) if not media or media.startswith("text/") or media in TEXTUAL else None
+    if body_text is not None and not media and b"\0" in body_text[:1024]:  # undeclared and binary
+        body_text = None
+    block_digest, payload_digest = _value(own, "warc-block-digest") or digest(block), _value(own, "warc-payload-digest") or digest(body)
     meta_id, text_id = _urn(row.record_id, "metadata"), _urn(row.record_id, "conversion")
-    title = _TITLE.search(page)
-    links = [next((x for x in m if x), "") for m in _LINK.findall(page)]
-    fields = [("source-record-id", row.record_id), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("conversion-record-id", text_id), ("conversion-block-digest", digest(text))]
-    fields += [("http-status", (http[0].split(" ", 2) + ["", ""])[1])] if http else []
-    fields += [(f"source-http-{k.strip().lower()}", v.strip()) for k, _, v in (h.partition(":") for h in http[1:])]
-    fields += [(f"source-{k.lower()}", v) for k, v in own.items()]
-    fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-    fields += [("outlink", html.unescape(x).replace("\r", "").replace("\n", "")) for x in links]
-    meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass")
-    linked = [("WARC-Concurrent-To", text_id)]
-    kept = [("WARC-Source-Payload-Digest", payload_digest), ("WARC-Source-Content-Type", kind or None)]
-    return [
-        _record(row.page_id, "metadata", meta_id, row.record_id, row.target_uri, row.warc_date, "application/warc-fields", meta, linked),
-        _record(row.page_id, "conversion", text_id, row.record_id, row.target_uri, row.warc_date, "text/plain; charset=utf-8", text, kept),
-    ]
+    fields = [("source-record-id", row.record_id), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest)]
+    fields += [("http-status", (status.split(" ", 2) + ["", ""])[1])] if status else []
+    fields += [(f"source-http-{k.lower()}", v) for k, v in http]
+    fields += [(f"source-{k.lower()}", v) for k, v in own]
+    out = []
+    if body_text is not None:
+        try:
+            page = body_text.decode(charset[1] if charset else "utf-8", "replace")
+        except LookupError:
+            page = body_text.decode("utf-8", "replace")
+        markup = media in ("", "text/html", "application/xhtml+xml")
+        text, title, links = read_page(page) if markup else (page, None, [])
+        text = text.encode("utf-8", "replace")
+        fields += [("conversion-record-id", text_id), ("conversion-block-digest", digest(text))]
+        fields += [("title", title)] if title is not None else []
+        fields += [("outlink", x) for x in links]
+        kept = [("WARC-Concurrent-To", meta_id), ("WARC-Source-Payload-Digest", payload_digest), ("WARC-Source-Content-Type", kind or None)]
+        out.append(_record(row.page_id, "conversion", text_id, row.record_id, row.target_uri, row.warc_date, "text/plain; charset=utf-8", text, kept))
+    meta = "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace")
+    linked = [("WARC-Concurrent-To", text_id)] if out else []
+    return [_record(row.page_id, "metadata", meta_id, row.record_id, row.target_uri, row.warc_date, "application/warc-fields", meta, linked), *out]
 
 
 _COLUMNS = ["page_id", "warc_type", "record_id", "refers_to", "target_uri", "warc_date", "headers", "block"]
 
 
+def _batches(records: Iterator[tuple], size=lambda r: len(r[7])) -> Iterator[pd.DataFrame]:
+    """Records as frames of about BATCH bytes."""
+    rows: list[tuple] = []
+    n = 0
+    for r in records:
+        rows.append(r)
+        n += size(r)
+        if n >= BATCH:
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+            rows, n = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=_COLUMNS)
+
+
 def derivatives(records: DataFrame) -> DataFrame:
     """The metadata and the conversion record of every response record, in the columns of RECORDS.
 
-    Records of other types give none. A null block is an empty one; null headers are no headers. A record without
-    own digests gets them computed. Identifiers follow from the source's, so a rerun gives the same, and repeated
-    records give repeated derivatives. Other columns are dropped; an empty table gives an empty table.
+    Records of other types give none. A payload that is not text (by its media type, an unknown or broken coding, or
+    zero bytes where no type is given) gives a metadata record alone. Chunked, gzip and deflate payloads are decoded.
+    Metadata lists every header of the source, repeated ones too, and its digests, which are computed where the source
+    has none. A null block is an empty one; null headers are no headers. Identifiers follow from the source's, so a
+    rerun gives the same, and repeated records give repeated derivatives. Other columns are dropped; an empty table
+    gives an empty table.
     """
     kind = records.schema["page_id"].dataType.simpleString()
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([r for row in batch.itertuples(index=False) for r in _derive(row)], columns=_COLUMNS)
+        yield from _batches(r for batch in batches for row in batch.itertuples(index=False) for r in _derive(row))
 
     return records.where("warc_type = 'response'").select(*_COLUMNS).mapInPandas(build, RECORDS.format(id=kind))
 
@@ -134,32 +264,82 @@ def with_members(records: DataFrame) -> DataFrame:
     return d.mapInPandas(build, RECORDS.format(id=d.schema["page_id"].dataType.simpleString()) + ", member binary")
 
 
+class _Members(io.RawIOBase):
+    """The content of gzip members laid end to end, up to where it breaks or is cut short."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.rest, self.unzip = data, 0, b"", zlib.decompressobj(31)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while True:
+            if self.unzip.eof:
+                self.rest, self.unzip = self.unzip.unused_data + self.rest, zlib.decompressobj(31)
+            if not self.rest:
+                self.rest = self.data[self.at : self.at + (1 << 16)]
+                self.at += len(self.rest)
+            if not self.rest:
+                return 0
+            try:
+                part = self.unzip.decompress(self.rest, len(buffer))
+            except zlib.error:
+                self.rest, self.at = b"", len(self.data)
+                return 0
+            self.rest = b"" if self.unzip.eof else self.unzip.unconsumed_tail
+            if part:
+                buffer[: len(part)] = part
+                return len(part)
+
+
 def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and block of each record of a WARC file, gzipped or not."""
-    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
-    while line := f.readline():
-        if not line.strip():
+    """Headers and block of each record of a WARC file, gzipped or not.
+
+    Lines before a version line are passed over. Header lines are UTF-8, or else Latin-1; a line that begins with a
+    blank continues the one before. A length that is no number counts as 0. A file that is cut short, or whose
+    compression breaks, ends with what could be read: a block may then be shorter than its length.
+    """
+    f = io.BufferedReader(_Members(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while start := f.readline():
+        if not start.startswith(b"WARC/"):
             continue
-        headers = []
-        while (line := f.readline()).strip():
-            k, _, v = line.decode("utf-8", "surrogatepass").partition(":")
-            headers.append((k.strip(), v.strip()))
-        yield headers, f.read(int(dict(headers).get("Content-Length", 0)))
+        headers: list[tuple[str, str]] = []
+        while (raw := f.readline()).strip():
+            try:
+                text = raw.decode()
+            except UnicodeDecodeError:
+                text = raw.decode("latin-1")
+            if text[0] in " \t" and headers:
+                headers[-1] = headers[-1][0], f"{headers[-1][1]} {text.strip()}"
+            elif ":" in text:
+                k, _, v = text.partition(":")
+                headers.append((k.strip(), v.strip()))
+        length = _value(headers, "content-length") or ""
+        left, parts = int(length) if length.isascii() and length.isdigit() else 0, []
+        while left > 0 and (part := f.read(min(left, 1 << 20))):
+            parts.append(part)
+            left -= len(part)
+        yield headers, b"".join(parts)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the WARC files at path, a file a task, in the columns of RECORDS with a null page_id."""
+    """The records of the WARC files at path, a file a task, in the columns of RECORDS with a null page_id.
+
+    A file may have up to 2 GB, Spark's limit for one value; records leave the task in batches of bounded size.
+    """
+
+    def row(pairs: list[tuple[str, str]], block: bytes) -> tuple:
+        names = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date")
+        return None, *(_value(pairs, n) for n in names), [{"name": k, "value": v} for k, v in pairs], block
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
-                rows = []
-                for pairs, block in parse(data):
-                    h = dict(pairs)
-                    rows.append((None, h.get("WARC-Type"), h.get("WARC-Record-ID"), h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), h.get("WARC-Date"), [{"name": k, "value": v} for k, v in pairs], block))
-                yield pd.DataFrame(rows, columns=_COLUMNS)
+                yield from _batches(row(*r) for r in parse(data))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(build, RECORDS.format(id="bigint"))
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(build, RECORDS.format(id="bigint"))
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
