@@ -128,13 +128,14 @@ def test_simhash(spark):
     assert [got[i].component_id for i, _ in rows] == root
 
 
-def test_simhash_chunks(spark):
+@pytest.mark.parametrize("bucket", [2048, 4])
+def test_simhash_buckets(spark, bucket):
     r = random.Random(2)
     centres = [r.getrandbits(64) for _ in range(5)]
     fps = {c ^ sum(1 << b for b in set(r.choices(range(64), k=r.randrange(4)))) for c in centres for _ in range(80)}
     fps |= {r.getrandbits(64) for _ in range(100)}
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
-    found = {r.id: r.root for r in components(simhash.fingerprint_links(df, chunk=16)).collect()}
+    found = {r.id: r.root for r in components(simhash.fingerprint_links(df, bucket=bucket)).collect()}
     signed = sorted(x.fp for x in df.collect())
     root = {x: x for x in signed}
     for _ in range(20):
@@ -142,6 +143,23 @@ def test_simhash_chunks(spark):
     assert all(found.get(x, x) == root[x] for x in signed)
 
 
+def test_simhash_large_buckets(spark):
+    """Rows dealt out grow with the fingerprints of one bucket, not with their pairs; a dense ball is walked in short time."""
+    made = []
+    for n in (50_000, 200_000):
+        r = np.random.default_rng(n)
+        fps = np.unique(r.integers(0, 1 << 51, n))
+        df = spark.createDataFrame(pd.DataFrame({"fp": fps}))
+        made.append(simhash.buckets(df).count() / len(fps))
+    assert made[1] < 1.3 * made[0] and made[1] < 60
+    near = np.zeros(60_000, np.int64)
+    for _ in range(4):
+        near ^= np.where(r.random(len(near)) < 0.9, 1 << r.integers(0, 63, len(near)), 0)
+    near = np.unique(near)
+    found = components(simhash.fingerprint_links(spark.createDataFrame(pd.DataFrame({"fp": near}))))
+    assert found.where(f"root = {near.min()}").count() == len(near) - 1
+
+
 @pytest.mark.parametrize("hot", [1024, 1])
 def test_suffix_dedup(spark, hot):
     r = random.Random(4)
