@@ -5,8 +5,11 @@ cut into segments, the runs of string starts with one anchor, so equal strings m
 an anchor that occurs once in the corpus is done with. Equal segments are summed up; what is left is dealt out by
 anchor and sorted per batch of anchors: suffixes smaller than their successors are sorted directly, the others are
 induced from them bucket by bucket, and neighbours with a common prefix of LENGTH are repeats. A segment that occurs
-more than once is entered twice. An anchor with more than HOT different segments is not gathered: its strings
-are counted one by one by a 128-bit hash, with sums before the shuffle.
+more than once is entered twice.
+
+An anchor with more than HOT different segments is not gathered in one task. Its strings are split in two by how far
+in front the anchor lies in them; all strings of a half share more bytes around the anchor, and are dealt by these as
+well. Halves that are still too large are split again, down to one string each, so every group that is sorted is small.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from siltbed.llm.common import stored, table
 
 LENGTH, K = 400, 50
+#: A group of more different segments is split by the bytes around its anchor.
 HOT = 1024
 #: Bytes that a batch of texts, and a batch of segments to be sorted, have at least, if there are so many.
 TEXTS, SORTED = 2_000_000, 400_000
@@ -56,13 +60,13 @@ def _gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.ndarray, ...]:
-    """text (its index), key (the anchor's hash), lo (first start, in the text) and n (starts) of each segment, and buffer places."""
+    """Of each segment text (its index), key (the anchor's hash), lo (first start, in the text), n (starts), place (in the texts laid end to end) and pos (the anchor's, from there)."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     b = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if not (sizes >= length).any():
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     h = _gram_hashes(b, k)
     low = np.uint64((1 << 31) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -78,7 +82,7 @@ def segments(texts: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.n
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1]))))
     n = np.diff(np.append(first, len(at)))
     place, own = at[first], own[first]
-    return own, h[anchor[first]].view(np.int64), place - (ends - sizes)[own], n, place
+    return own, h[anchor[first]].view(np.int64), place - (ends - sizes)[own], n, place, anchor[first] - place
 
 
 def _grouped(batches: Iterator[pd.DataFrame], size, least: int) -> Iterator[pd.DataFrame]:
@@ -92,11 +96,11 @@ def _grouped(batches: Iterator[pd.DataFrame], size, least: int) -> Iterator[pd.D
 def _find_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for g in _grouped(batches, lambda x: x["text"].str.len().fillna(0).to_numpy(), TEXTS):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in g["text"]]
-        own, key, lo, n, place = segments(texts)
+        own, key, lo, n, place, pos = segments(texts)
         data = memoryview(b"".join(texts))
         digests = (xxhash.xxh3_64_intdigest(data[p : p + m + LENGTH - 1]) for p, m in zip(place.tolist(), n.tolist(), strict=True))
         seg = np.fromiter(digests, np.uint64, len(own)).view(np.int64)
-        yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy()[own], "h": g["h"].to_numpy()[own], "key": key, "seg": seg, "lo": lo.astype(np.int32), "n": n.astype(np.int32)})
+        yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy()[own], "h": g["h"].to_numpy()[own], "key": key, "seg": seg, "lo": lo.astype(np.int32), "n": n.astype(np.int32), "pos": pos.astype(np.int32)})
 
 
 def suffix_order(data: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -170,15 +174,14 @@ def _runs(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _sort_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by key."""
+    """Different parts come sorted by group."""
 
     def found(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates(["key", "seg"])
         parts = [p for p, m in zip(g["part"], g["m"], strict=True) for _ in range(min(m, 2))]
         flags = repeated_starts(parts, LENGTH)
         first = np.cumsum(np.minimum(g["m"], 2)) - np.minimum(g["m"], 2)
         runs = [_runs(flags[i]) for i in first]
-        return pd.DataFrame({"key": g["key"], "seg": g["seg"], "a": [r[0] for r in runs], "b": [r[1] for r in runs]})
+        return pd.DataFrame({"group": g["group"], "own": g["own"], "a": [r[0] for r in runs], "b": [r[1] for r in runs]})
 
     rest: list[pd.DataFrame] = []
     size = 0
@@ -188,7 +191,7 @@ def _sort_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if size < SORTED:
             continue
         g = pd.concat(rest, ignore_index=True)
-        other = np.flatnonzero(g["key"].to_numpy() != g["key"].iloc[-1])
+        other = np.flatnonzero(g["group"].to_numpy() != g["group"].iloc[-1])
         at = other[-1] + 1 if len(other) else 0
         rest = [g.iloc[at:]]
         size = g["part"].iloc[at:].str.len().sum()
@@ -198,13 +201,44 @@ def _sort_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield found(pd.concat(rest, ignore_index=True))
 
 
-def _hash_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for g in _grouped(batches, lambda x: x["part"].str.len().to_numpy(), TEXTS // 10):
-        n = g["part"].str.len().to_numpy() - LENGTH + 1
-        digests = b"".join(xxhash.xxh3_128_digest(p[i : i + LENGTH]) for p, m in zip(g["part"], n, strict=True) for i in range(m))
-        w = np.frombuffer(digests, np.int64).reshape(-1, 2)
-        at = np.concatenate([np.arange(m) for m in n]) if len(n) else np.zeros(0)
-        yield pd.DataFrame({"key": np.repeat(g["key"].to_numpy(), n), "seg": np.repeat(g["seg"].to_numpy(), n), "at": at.astype(np.int32), "w1": w[:, 0], "w2": w[:, 1], "m": np.repeat(g["m"].to_numpy(), n)})
+#: A part of a segment: that segment's key and seg, the first start in it, the group it is dealt to, its own hash, its
+#: bytes, the anchor's place in them, and least and most bytes before the anchor in the group's strings.
+PART = "key long, seg long, base int, m long, group long, own long, part binary, pos int, least int, most int"
+
+
+def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parts split by the bytes before the anchor; a half goes to the group of those with the same bytes around it."""
+    for g in _grouped(batches, lambda x: x["part"].str.len().to_numpy(), TEXTS):
+        rows = []
+        for r in g.itertuples(index=False):
+            middle = (r.least + r.most) // 2
+            n = len(r.part) - LENGTH + 1
+            for least, most in ((r.least, middle), (middle + 1, r.most)):
+                first, last = max(r.pos - most, 0), min(r.pos - least, n - 1)
+                if first > last:
+                    continue
+                part, shared = r.part[first : last + LENGTH], r.part[r.pos - least : r.pos - most + LENGTH]
+                group = xxhash.xxh3_64_intdigest(b"%d %d %d " % (r.group, least, most) + shared)
+                rows.append((r.key, r.seg, r.base + first, r.m, group, xxhash.xxh3_64_intdigest(part), part, r.pos - first, least, most))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in PART.split(", ")])
+        for c in ("group", "own"):
+            out[c] = out[c].astype(np.uint64).to_numpy().view(np.int64)
+        yield out
+
+
+def _split_hot(parts: DataFrame, hot: int) -> DataFrame:
+    """parts with hot groups split until none has over hot different parts; one string each at the last."""
+    done = None
+    for _ in range((LENGTH - K + 1).bit_length() + 1):
+        variants = parts.groupBy("group", "own").agg(F.first("least").alias("least"), F.first("most").alias("most"))
+        large = variants.where("least < most").groupBy("group").count().where(F.col("count") > hot).select("group")
+        large = stored(large)
+        if large.isEmpty():
+            break
+        small = parts.join(large, "group", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        parts = stored(parts.join(large, "group", "left_semi").mapInPandas(_halves, PART))
+    return parts if done is None else done.unionByName(parts)
 
 
 def _cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,25 +270,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     doc = F.struct("doc_id", "h").alias("doc")
-    at = stored(d.mapInPandas(_find_segments, f"doc_id {kind}, h long, key long, seg long, lo int, n int").select(doc, "key", "seg", "lo", "n"))
+    at = stored(d.mapInPandas(_find_segments, f"doc_id {kind}, h long, key long, seg long, lo int, n int, pos int").select(doc, "key", "seg", "lo", "n", "pos"))
     keys = stored(at.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key"))  # so that the join's hot keys can be split
     at = stored(at.join(keys, "key", "left_semi"))
 
-    segs = at.groupBy("key", "seg").agg(F.count("*").alias("m"), F.min(F.struct("doc", "lo", "n")).alias("x"))
-    segs = stored(segs)
-    segs = segs.join(stored(segs.groupBy("key").agg(F.count("*").alias("variants"))), "key")
-    segs = segs.groupBy("x.doc").agg(F.collect_list(F.struct("key", "seg", "m", "variants", "x.lo", "x.n")).alias("segs"))
+    segs = at.groupBy("key", "seg").agg(F.count("*").alias("m"), F.min(F.struct("doc", "lo", "n", "pos")).alias("x"))
+    segs = segs.groupBy("x.doc").agg(F.collect_list(F.struct("key", "seg", "m", "x.lo", "x.n", "x.pos")).alias("segs"))
     whole = d.select(doc, F.col("text").cast("binary").alias("data"))
-    part = lambda s: F.struct(*[s[c].alias(c) for c in ("key", "seg", "m", "variants")], F.substring("data", s["lo"] + 1, s["n"] + (LENGTH - 1)).alias("part"))
-    parts = stored(whole.join(segs, "doc").select(F.explode(F.transform("segs", part)).alias("s")).select("s.*"))
-    found = parts.where(F.col("variants") <= hot).drop("variants").repartition("key").sortWithinPartitions("key").mapInPandas(_sort_segments, "key long, seg long, a array<int>, b array<int>")
-
-    windows = parts.where(F.col("variants") > hot).mapInPandas(_hash_windows, "key long, seg long, at int, w1 long, w2 long, m long").distinct()
-    again = windows.groupBy("w1", "w2").agg(F.sum("m").alias("m")).where("m > 1").select("w1", "w2")
-    each = windows.join(again, ["w1", "w2"], "left_semi").groupBy("key", "seg").agg(F.collect_list("at").alias("a"))
-    found = found.where(F.size("a") > 0).unionByName(each.select("key", "seg", "a", F.col("a").alias("b")))
-
-    hits = at.join(found, ["key", "seg"]).groupBy("doc").agg(F.collect_list(F.struct("lo", "a", "b")).alias("found"))
+    part = lambda s: F.struct(*[s[c].alias(c) for c in ("key", "seg", "m", "pos")], F.substring("data", s["lo"] + 1, s["n"] + (LENGTH - 1)).alias("part"))
+    parts = stored(whole.join(segs, "doc").select(F.explode(F.transform("segs", part)).alias("s")).select("s.*"))  # repeated rows give a part once each
+    parts = parts.select("key", "seg", F.lit(0).alias("base"), "m", F.col("key").alias("group"), F.col("seg").alias("own"), "part", "pos", F.lit(0).alias("least"), F.lit(LENGTH - K).alias("most"))
+    parts = _split_hot(parts, hot)
+    origin = F.struct("key", "seg", "base")
+    many = (F.max("m") > 1) | (F.min(origin) != F.max(origin))
+    each = parts.groupBy("group", "own").agg(F.when(many, 2).otherwise(1).alias("m"), F.first("part").alias("part"))
+    found = each.repartition("group").sortWithinPartitions("group").mapInPandas(_sort_segments, "group long, own long, a array<int>, b array<int>").where(F.size("a") > 0)
+    shifted = lambda c: F.transform(c, lambda i: i + F.col("base")).alias(c)
+    found = parts.select("key", "seg", "base", "group", "own").distinct().join(stored(found), ["group", "own"]).select("key", "seg", shifted("a"), shifted("b"))
+
+    hits = at.join(found, ["key", "seg"]).groupBy("doc").agg(F.collect_set(F.struct("lo", "a", "b")).alias("found"))
     out = d.select(doc, "text").join(hits, "doc", "left").select(F.col("doc.doc_id").alias("doc_id"), "text", "found")
     return out.mapInPandas(_cut_texts, f"doc_id {kind}, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
 

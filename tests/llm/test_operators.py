@@ -160,11 +160,12 @@ def test_simhash_large_buckets(spark):
     assert found.where(f"root = {near.min()}").count() == len(near) - 1
 
 
-@pytest.mark.parametrize("hot", [1024, 1])
+@pytest.mark.parametrize("hot", [1024, 8, 1])
 def test_suffix_dedup(spark, hot):
     r = random.Random(4)
     shared = ["".join(r.choice("abc é") for _ in range(n)) for n in (380, 400, 450, 900)]
     texts = ["".join(r.choice("xyz ") for _ in range(r.randrange(300))) + r.choice(shared) + "".join(r.choice("xyz ") for _ in range(r.randrange(300))) for _ in range(25)]
+    texts += ["".join(r.choice("uvw ") for _ in range(r.randrange(300))) + shared[-1] + "".join(r.choice("uvw ") for _ in range(r.randrange(300))) for _ in range(40)]
     texts += [None, "", "q" * 900, "pq" * 300, texts[0], texts[0]]
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
