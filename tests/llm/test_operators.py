@@ -248,6 +248,34 @@ def test_splitting_tree(spark):
     assert sizes.max() - sizes.min() <= 3
 
 
+def test_uneven_shards(spark):
+    quotas = spark.createDataFrame([("a", 700), ("b", 0), ("c", 11)], "src string, quota long")
+    tree = mixing.splitting_tree(quotas, 12, 1).toPandas()
+    assert sorted(tree.shard.unique()) == list(range(12))
+    sizes = tree["last"] - tree["first"] + 1
+    assert sizes.groupby(tree.src).sum().to_dict() == {"a": 700, "b": 0, "c": 11}
+    assert sizes.groupby(tree.shard).sum().between(58, 61).all()
+    assert mixing.splitting_tree(quotas, 1, 1).toPandas()["last"].tolist() == [700, 0, 11]
+    with pytest.raises(ValueError):
+        mixing.splitting_tree(quotas, 0, 1)
+
+
+def test_write_shards(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i, "w " * r.randrange(1, 30), r.choice(["a", "a", "a", "b", None])) for i in range(800)] + [(None, "x y", "a"), (None, "z", "a")]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=3, also=("text",))
+    mixing.write_shards(mixed, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards")).toPandas()
+    drawn = collections.Counter((x.doc_id, x.text, d["pass"], d["shard"]) for x in mixed.collect() for d in x.draws)
+    ids = [None if pd.isna(i) else int(i) for i in back.doc_id]
+    assert collections.Counter(zip(ids, back.text, back["pass"], back.shard, strict=True)) == drawn
+    passes = collections.Counter((i, t, p) for (i, t, p, _), n in drawn.items() for _ in range(n) if i is not None)
+    assert max(passes.values()) == 1 and set(back.shard) == {0, 1, 2}
+    assert all((rows[i][0], rows[i][1]) == (i, t) for i, t in zip(ids, back.text, strict=True) if i is not None)
+    in_order = back[back.shard == 0].sort_values("place").doc_id.dropna().tolist()
+    assert in_order != sorted(in_order)
+
+
 def test_warc_round_trip(spark, tmp_path):
     page = "<title>T &amp; t</title><script>x<</script><p>One <b>two</b><br>three<!-- c --></p><a href='/u'>l</a>"
     pages = spark.createDataFrame([(1, "http://a/", page), (2, None, None), (2, None, None)], "page_id long, url string, html string")
