@@ -21,13 +21,21 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rejected documents; the others lose their failing lines."""
+    """Drops rejected documents; the others lose their failing lines.
+
+    Null, empty and short texts are rejected. Rows are judged one by one, so repeated rows and null ids make no
+    difference; columns besides those of documents are dropped; an empty table gives an empty table.
+    """
     judged = docs.withColumn("_q", line_quality.judge(F.col("text"))).where("_q.kept")
     return _with_text(judged, F.col("_q.clean_text"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated and near-repeated lines but for the earliest, and documents that keep no line."""
+    """Drops repeated and near-repeated lines but for the earliest, and documents that keep no line.
+
+    Null and empty texts have no line and go. Rows with the same id, text, lang and source are one document and keep
+    the same lines; a null id comes first in the order. An empty table gives an empty table.
+    """
     found = line_dedup.dedup_lines(docs, also=("lang", "source")).where("n_lines > n_removed")
     return _with_text(found, F.col("clean_text"))
 
@@ -50,14 +58,25 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents, also those with a null doc_id; other texts under the same id stay."""
+    """Drops contaminated documents, also those with a null doc_id; other texts under the same id stay.
+
+    A null or empty text has no words and stays. Repeated rows stay or go together. An empty table gives an empty
+    table, and an empty benchmark drops nothing.
+    """
     d = _with_key(docs)
     found = decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark"), id_col="key").where("contaminated")
     return d.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    """The mix: a row per draw with the columns of documents, pass, shard and place, the order within the shard.
+
+    A document drawn twice gives two rows, one that is not drawn none. A null source is a source of its own; null and
+    empty texts have size 0 and are drawn with their block. Rows that share id and source are drawn together. An empty
+    table gives an empty table.
+    """
+    mixed = mixing.mix(docs, also=("text", "lang", "n_chars"))
+    return mixing.shuffled(mixed).select(*COLUMNS, "pass", "shard", "place")
 
 
 STAGES = [
@@ -75,6 +94,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         context.setCheckpointDir(tempfile.mkdtemp(prefix="siltbed-"))
