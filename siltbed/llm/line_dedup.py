@@ -48,40 +48,41 @@ def _within_one(a: Column, b: Column) -> Column:
 
 
 def near_lines(first: DataFrame, docs: DataFrame) -> DataFrame:
-    """h1 and partner of each distinct line (line, first, ends) with an earlier near line: the earliest's place and h1.
+    """Each distinct line (line, first, ends) that has an earlier near line.
 
+    The lines in question get numbers, so two that share a 64-bit hash stay apart.
     Of the lines that share an end, words travel as 64-bit hashes. Keys travel without their lines' places until
     those that one line alone has are gone.
     """
-    ends = first.select(F.col("line.h1").alias("h1"), F.explode("ends").alias("end"))
+    ends = first.select("line", F.explode("ends").alias("end"))
     shared = stored(ends.groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select("end"))
-    some = stored(ends.join(shared, "end", "left_semi").select("h1").distinct())
-    places = stored(first.select("line.h1", "first").join(some, "h1", "left_semi"))
-    by_doc = places.groupBy("first.doc").agg(F.collect_list(F.struct("h1", "first.no")).alias("found"))
-    hashed = lambda x: F.struct(x["h1"].alias("h1"), F.transform(words(F.get("lines", x["no"])), lambda t: F.xxhash64(t)).alias("w"))
+    some = stored(ends.join(shared, "end", "left_semi").select("line").distinct())
+    places = stored(first.select("line", "first").join(some, "line", "left_semi").withColumn("number", F.monotonically_increasing_id()))
+    by_doc = places.groupBy("first.doc").agg(F.collect_list(F.struct("number", "first.no")).alias("found"))
+    hashed = lambda x: F.struct(x["number"].alias("number"), F.transform(words(F.get("lines", x["no"])), lambda t: F.xxhash64(t)).alias("w"))
     # read by several consumers through one exchange, as is the exchange of the texts
     # rows of one document have equal lines; only one of each may be summed up
-    alike = docs.join(by_doc, "doc").select(F.explode(F.transform("found", hashed)).alias("x")).select("x.h1", "x.w").groupBy("h1").agg(F.first("w").alias("w"))
+    alike = docs.join(by_doc, "doc").select(F.explode(F.transform("found", hashed)).alias("x")).select("x.number", "x.w").groupBy("number").agg(F.first("w").alias("w"))
 
-    at = alike.select("h1", F.size("w").alias("n"), F.posexplode("w").alias("at", "x"))
-    at = at.select("h1", "n", "at", F.xxhash64("x", "at").alias("a"), F.xxhash64("x", F.col("at") - 1).alias("b"))
-    along = Window.partitionBy("h1").orderBy("at")
+    at = alike.select("number", F.size("w").alias("n"), F.posexplode("w").alias("at", "x"))
+    at = at.select("number", "n", "at", F.xxhash64("x", "at").alias("a"), F.xxhash64("x", F.col("at") - 1).alias("b"))
+    along = Window.partitionBy("number").orderBy("at")
     xor = lambda c, end: F.coalesce(F.expr(f"bit_xor({c})").over(along.rowsBetween(Window.unboundedPreceding, end)), F.lit(0).cast("long"))
     at = at.select("*", xor("a", Window.unboundedFollowing).alias("whole"), xor("a", -1).bitwiseXOR(xor("b", Window.unboundedFollowing)).bitwiseXOR(xor("b", Window.currentRow)).alias("cut"))
     key = lambda v, length, place, kind: F.struct(F.xxhash64(v, length, place).alias("k"), F.lit(kind).alias("kind"))
     none = F.array().cast("array<struct<k:bigint,kind:int>>")
     cuts = F.array(key("cut", F.col("n") - 1, F.col("at"), CUT_HERE), key("cut", F.col("n") - 1, F.lit(-1), CUT))
     keys = F.concat(F.when(F.col("n") >= LEAST, cuts).otherwise(none), F.when(F.col("at") == 0, F.array(key("whole", F.col("n"), F.lit(-1), WHOLE))).otherwise(none))
-    keys = at.select("h1", F.explode(keys).alias("x")).select("x.k", "x.kind", "h1")
+    keys = at.select("number", F.explode(keys).alias("x")).select("x.k", "x.kind", "number")
     common = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    keys = keys.join(common, "k", "left_semi").join(places, "h1").select("k", "kind", F.struct("first", "h1").alias("at"))
+    keys = keys.join(common, "k", "left_semi").join(places.drop("line"), "number").select("k", "kind", F.struct("first", "number").alias("at"))
     earliest = keys.groupBy("k").agg(F.min(F.when(F.col("kind") == WHOLE, F.col("at"))).alias("of_whole"), F.min(F.when(F.col("kind") != WHOLE, F.col("at"))).alias("of_cut"))
     partner = F.when(F.col("kind") == CUT, F.col("of_whole")).otherwise(F.col("of_cut"))
     pairs = keys.join(earliest, "k").select("at", partner.alias("partner")).where("partner.first < at.first")
-    pairs = pairs.groupBy("at.h1").agg(F.min("partner").alias("partner"))
-    other = alike.select(F.col("h1").alias("h2"), F.col("w").alias("w2"))
-    pairs = pairs.join(alike, "h1").join(other, F.col("partner.h1") == F.col("h2"))
-    return pairs.where(_within_one(F.col("w"), F.col("w2"))).select("h1", "partner")
+    pairs = pairs.groupBy("at.number").agg(F.min("partner").alias("partner"))
+    other = alike.select(F.col("number").alias("other"), F.col("w").alias("w2"))
+    pairs = pairs.join(alike, "number").join(other, F.col("partner.number") == F.col("other"))
+    return pairs.where(_within_one(F.col("w"), F.col("w2"))).select("number").join(places, "number").select("line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
@@ -99,7 +100,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ))
     lines = d.select("doc", F.explode(F.transform("lines", row)).alias("x")).where("x.n > 0")
     first = stored(lines.groupBy("x.line").agg(F.min(F.struct("doc", "x.no")).alias("first"), F.first("x.ends").alias("ends")))
-    kept = first.select("line.h1", "first").join(near_lines(first, d).select("h1"), "h1", "left_anti")
+    kept = first.select("line", "first").join(near_lines(first, d), "line", "left_anti")
     kept = kept.groupBy("first.doc").agg(F.collect_list("first.no").alias("kept"))
     out = d.join(kept, "doc", "left").withColumn("kept", F.sort_array(F.coalesce("kept", F.array().cast("array<int>"))))
     blank = F.filter(F.transform("lines", lambda x, i: F.when(~x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())

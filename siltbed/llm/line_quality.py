@@ -51,7 +51,7 @@ def line_fails(line: Column) -> Column:
     """True for a line with words that breaks the punctuation, navigation, symbol or boilerplate rule."""
     punctuation = ~line.rlike(SENTENCE_END)
     bars = F.regexp_count(line, F.lit(SEPARATORS))
-    navigation = F.when(line.rlike(f"{SEPARATORS}.*{SEPARATORS}.*{SEPARATORS}"), bars * 4 >= F.size(words(line))).otherwise(F.lit(False))
+    navigation = F.when(bars >= 3, bars * 4 >= F.size(words(line))).otherwise(F.lit(False))
     symbols = F.when(line.rlike(SYMBOLS), F.regexp_count(line, F.lit(SYMBOLS)) * 10 > F.length(line)).otherwise(F.lit(False))
     low = F.lower(line)
     phrases = F.lit(False)

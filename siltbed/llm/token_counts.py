@@ -7,6 +7,7 @@ a word's greedy longest-match count takes one step per byte and builds no piece.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -87,7 +88,16 @@ class Automaton(dict):
         return n
 
 
-_built: dict[int, Automaton] = {}
+_built: dict[bytes, Automaton] = {}
+
+
+def _automaton(pieces: list[bytes]) -> Automaton:
+    """The pieces' automaton, built once in a worker; another vocabulary takes its place."""
+    key = hashlib.sha256(b"".join(len(p).to_bytes(8, "little") + p for p in pieces)).digest()
+    if key not in _built:
+        _built.clear()
+        _built[key] = Automaton(pieces)
+    return _built[key]
 
 
 def piece_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +110,7 @@ def piece_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
     spread = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = _built.get(len(spread.value)) or _built.setdefault(len(spread.value), Automaton(spread.value))
+        automaton = _automaton(spread.value)
         for batch in batches:
             rows = []
             for text in batch["text"]:
