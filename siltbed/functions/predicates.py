@@ -7,12 +7,13 @@ type; one that cannot be cast matches nothing. Unknown fields, operators and con
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 @dataclass(frozen=True)
@@ -34,31 +35,34 @@ _COMPARE = {
     "=": lambda c, v: c == v, "<>": lambda c, v: c != v, "!=": lambda c, v: c != v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v,
     "<": lambda c, v: c < v, "<=": lambda c, v: c <= v,
 }
-_TEXT = {"contain": F.contains, "prefix": F.startswith, "LIKE": lambda c, v: c.like(v)}
-OPERATORS = (*_COMPARE, *_TEXT, "IN", "between")
+_TEXT = {"contain": F.contains, "prefix": F.startswith}
+OPERATORS = (*_COMPARE, *_TEXT, "LIKE", "IN", "between")
 
 
 def _leaf(df: DataFrame, names: dict[str, str], c: Condition, ci: bool) -> Column:
+    """One condition; ci ignores case in string columns, and other columns are compared as what they are."""
     if c.field not in names:
         raise ValueError(f"unknown field {c.field!r}")
     kind = df.schema[names[c.field]].dataType
-    column = df[names[c.field]]
-    cast = lambda v: F.lit(v if v is None else str(v)).try_cast(kind)
-    if ci:
-        column, text = F.lower(column.cast("string")), lambda v: F.lower(F.lit(str(v)))
-    else:
-        text = lambda v: F.lit(str(v))
+    fold = F.lower if ci and isinstance(kind, StringType) else lambda x: x
+    column = fold(df[names[c.field]])
+    typed = lambda v: fold(F.lit(v if v is None else str(v)).try_cast(kind))
+    shown = df[names[c.field]].cast("string")
     if c.op in _COMPARE:
-        return _COMPARE[c.op](column, text(c.value) if ci else cast(c.value))
+        return _COMPARE[c.op](column, typed(c.value))
     if c.op == "LIKE":
-        return column.cast("string").like(str(c.value).lower() if ci else str(c.value))
+        pattern = str(c.value)
+        if (len(pattern) - len(pattern.rstrip("\\"))) % 2:  # a lone escape at the end stands for itself
+            pattern += "\\"
+        return F.lower(shown).like(pattern.lower()) if ci else shown.like(pattern)
     if c.op in _TEXT:
-        return _TEXT[c.op](column.cast("string"), text(c.value))
+        value = F.lit(str(c.value))
+        return _TEXT[c.op](F.lower(shown), F.lower(value)) if ci else _TEXT[c.op](shown, value)
     if c.op == "IN":
         values = list(c.value)
-        return column.isin([text(v) if ci else cast(v) for v in values]) if values else F.lit(False)
+        return column.isin([typed(v) for v in values]) if values else F.lit(False)
     if c.op == "between":
-        return (column >= cast(c.value)) & (column <= cast(c.value_2))
+        return (column >= typed(c.value)) & (column <= typed(c.value_2))
     raise ValueError(f"unknown operator {c.op!r}")
 
 
@@ -66,6 +70,28 @@ def _blank(c: Condition) -> bool:
     return c.value is None or (isinstance(c.value, str) and not c.value.strip())
 
 
+def _trimmed(c: Condition) -> Condition:
+    trim = lambda v: v.strip() if isinstance(v, str) else v
+    return replace(c, value=trim(c.value), value_2=trim(c.value_2))
+
+
+@dataclass(frozen=True)
+class Conditions:
+    """An editable list of conditions; each edit gives a new one."""
+
+    items: tuple[Condition, ...] = ()
+
+    def add(self, c: Condition) -> Conditions:
+        return Conditions((*self.items, c))
+
+    def remove(self, at: int) -> Conditions:
+        """Without the condition at a place; a place that there is not changes nothing."""
+        return Conditions(tuple(c for i, c in enumerate(self.items) if i != at))
+
+    def reset(self) -> Conditions:
+        return Conditions()
+
+
 def chain(df: DataFrame, conditions: Iterable[Condition], names: dict[str, str] | None = None, ci: bool = False) -> Column:
     """A flat list of conditions; blank values are skipped and string values trimmed."""
     names = names or {c: c for c in df.columns}
@@ -75,8 +101,7 @@ def chain(df: DataFrame, conditions: Iterable[Condition], names: dict[str, str]
             raise ValueError(f"unknown connective {c.connective!r}")
         if _blank(c):
             continue
-        c = Condition(c.field, c.op, c.value.strip() if isinstance(c.value, str) else c.value, c.connective, c.value_2)
-        leaf = _leaf(df, names, c, ci)
+        leaf = _leaf(df, names, _trimmed(c), ci)
         if groups and c.connective.upper() == "AND":
             groups[-1].append(leaf)
         else:
@@ -85,11 +110,11 @@ def chain(df: DataFrame, conditions: Iterable[Condition], names: dict[str, str]
 
 
 def tree(df: DataFrame, node: Condition | Group, names: dict[str, str] | None = None, ci: bool = False) -> Column:
-    """A nested condition."""
+    """A nested condition; blank values are skipped and string values trimmed, as in a chain."""
     names = names or {c: c for c in df.columns}
     if isinstance(node, Condition):
-        return _leaf(df, names, node, ci)
-    parts = [tree(df, n, names, ci) for n in node.items]
+        return F.lit(True) if _blank(node) else _leaf(df, names, _trimmed(node), ci)
+    parts = [tree(df, n, names, ci) for n in node.items if not (isinstance(n, Condition) and _blank(n))]
     if node.op.upper() == "AND":
         return reduce(lambda a, b: a & b, parts, F.lit(True))
     if node.op.upper() == "OR":

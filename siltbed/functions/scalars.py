@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ def file_size(size: Column) -> Column:
     return F.when(size == 0, F.lit("0 Bytes")).otherwise(F.concat(shown, F.lit(" "), F.get(names, unit)))
 
 
+def currency(amount: Column, sign: str = "£") -> Column:
+    """An amount with thousands separators and at most three decimals, without trailing zeros."""
+    return F.concat(F.lit(sign), F.regexp_replace(F.format_number(amount, 3), r"\.?0+$", ""))
+
+
 def is_name(text: Column) -> Column:
     """Letters, digits and underscores alone; no trailing line end."""
     return text.rlike(r"^[a-zA-Z0-9_]+\z")
@@ -40,6 +46,20 @@ def present(text: Column, trim: bool = True) -> Column:
     return text.isNotNull() & ((F.trim(text) if trim else text) != "")
 
 
+def filled(values: Column) -> Column:
+    """A required list: not null and not empty."""
+    return F.coalesce(F.size(values) > 0, F.lit(False))
+
+
+def one_of(text: Column, values: Sequence[str]) -> Column:
+    return text.isin(*values)
+
+
+def at_least_one(*texts: Column) -> Column:
+    """Whether any of several values is present."""
+    return reduce(lambda a, b: a | b, (present(t) for t in texts))
+
+
 def errors(rules: Mapping[str, Column]) -> Column:
     """The messages of the rules that do not hold (a null rule does not), joined by '; '."""
     failing = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(message)) for message, ok in rules.items()]

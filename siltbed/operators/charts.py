@@ -69,9 +69,16 @@ def downsample(df: DataFrame, by: str, x: str, y: str, n: int) -> DataFrame:
     return df.select(by, x, y).groupBy(by).applyInPandas(pick, df.select(by, x, y).schema)
 
 
-def random_walk(spark, n: int, seed: int) -> DataFrame:
-    """i, day, v: v[i] is v[i-1] plus noise in [-10, 10), rounded; starts at a random value below 300."""
-    noise = F.floor((F.rand(seed) - 0.5) * 20 + 0.5)
-    steps = spark.range(n).select(F.col("id").alias("i"), F.when(F.col("id") == 0, F.floor(F.rand(seed) * 300)).otherwise(noise).alias("step"))
-    v = F.sum("step").over(Window.orderBy("i"))
-    return steps.select("i", F.date_add(F.lit("1968-10-04").cast("date"), F.col("i").cast("int")).alias("day"), v.alias("v"))
+def random_walk(spark, n: int, seed: int, block: int = 1000) -> DataFrame:
+    """i, day, v: v[i] is v[i-1] plus noise in [-10, 10), rounded; starts at a random value below 300.
+
+    Noise follows from the seed and i by a digest, so it does not depend on partitions. Sums are taken within blocks of
+    steps, and over the blocks' sums, so no task gets all steps.
+    """
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+    step = F.when(F.col("id") == 0, F.floor(u * 300)).otherwise(F.floor((u - 0.5) * 20 + 0.5))
+    steps = spark.range(n).select(F.col("id").alias("i"), F.floor(F.col("id") / block).alias("block"), step.alias("step"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = steps.groupBy("block").agg(F.sum("step").alias("step")).select("block", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("start"))
+    v = F.col("start") + F.sum("step").over(Window.partitionBy("block").orderBy("i"))
+    return steps.join(blocks, "block").select("i", F.date_add(F.lit("1968-10-04").cast("date"), F.col("i").cast("int")).alias("day"), v.alias("v"))

@@ -94,5 +94,6 @@ def soft_delete(documents: DataFrame, doc_id: int) -> DataFrame:
     })
 
 
-def create_if_absent(spark: SparkSession, name: str, schema) -> None:
-    spark.createDataFrame([], schema).write.mode("ignore").saveAsTable(name)
+def create_if_absent(spark: SparkSession, path: str, schema) -> None:
+    """An empty table at path, unless there is one already."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)

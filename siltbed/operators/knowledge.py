@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed colours by level of the first axis, and the one beyond.
@@ -30,3 +30,9 @@ def matrix(nodes: DataFrame, levels: DataFrame, rows: str = "x", columns: str =
 
 def cell(nodes: DataFrame, x: int, y: int, z: int) -> DataFrame:
     return nodes.where((F.col("x") == x) & (F.col("y") == y) & (F.col("z") == z))
+
+
+def view_of(*active: Column) -> tuple[Column, Column]:
+    """How many axes are active, and the view for it: a cube for three, a matrix for two."""
+    n = sum((a.cast("int") for a in active[1:]), active[0].cast("int"))
+    return n, F.when(n == 3, "cube").when(n == 2, "matrix").otherwise("none")

@@ -15,10 +15,12 @@ def status_counts(df: DataFrame, columns: Sequence[str], tags: str) -> DataFrame
     return counted.withColumn("tags", F.lit(tags))
 
 
-def append_snapshot(df: DataFrame, columns: Sequence[str], tags: str, path: str) -> None:
+def append_snapshot(df: DataFrame, columns: Sequence[str], tags: str, path: str, mode: str = "append") -> None:
     """Adds one snapshot, stamped with the time, to the history at path; an empty table adds nothing."""
+    if df.isEmpty():
+        return
     rows = status_counts(df, columns, tags).withColumn("created_at", F.localtimestamp())
-    rows.write.mode("append").parquet(path)
+    rows.write.mode(mode).parquet(path)
 
 
 def read_history(history: DataFrame, limit: int = 3000) -> DataFrame:

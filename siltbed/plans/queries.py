@@ -6,13 +6,14 @@ status history, orders for sales.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.functions import scalars
+from siltbed.functions import predicates, scalars
 from siltbed.functions.predicates import Condition, Group
-from siltbed.operators import charts, documents, grid, knowledge, snapshot
-from siltbed.schemas import PROCESS_FILE, STATUS_COLUMNS
+from siltbed.operators import charts, documents, grid, knowledge, records, snapshot
+from siltbed.schemas import DOCUMENTS, PROCESS_FILE, PROCESS_STATUS, SCHEDULES, STATUS_COLUMNS
+from siltbed.session import scratch_folder
 from siltbed.sources import ingest
 
 QUERIES: dict = {}
@@ -159,6 +160,34 @@ def grid_ci(spark, sf_dir):
     return grid.grid(process_files(spark, sf_dir), [_C("doc_name", "contain", "THE")], ci=True)
 
 
+@_query(_grid_sql("id >= 100 AND id < 120"))
+def grid_ci_range(spark, sf_dir):
+    return grid.grid(process_files(spark, sf_dir), [_C("record_uuid", ">=", "100"), _C("record_uuid", "<", "120")], ci=True)
+
+
+@_query(_grid_sql("lower(std_name) BETWEEN 'b' AND 'td'"))
+def grid_ci_between(spark, sf_dir):
+    return grid.grid(process_files(spark, sf_dir), [_C("doc_name", "between", "B", "AND", "Td")], ci=True)
+
+
+@_query(_grid_sql("std_name LIKE '%the%' AND NOT contains(std_name, '\\')"))
+def grid_like(spark, sf_dir):
+    files = process_files(spark, sf_dir)
+    return grid.grid(files.where(~predicates.chain(files, [_C("std_name", "LIKE", "%\\")])), [_C("doc_name", "LIKE", "%the%")])
+
+
+@_query(_grid_sql("std_no = 'es' AND status = 'src0'"))
+def grid_tree_blanks(spark, sf_dir):
+    blank = _C("doc_name", "=", "  ")
+    return grid.grid(process_files(spark, sf_dir), Group("AND", (_C("doc_num", "=", " es "), blank, Group("OR", (_C("status", "=", "src0 "), blank)))))
+
+
+@_query(_grid_sql("std_no = 'fr'"))
+def grid_edited(spark, sf_dir):
+    edited = predicates.Conditions().add(_C("status", "=", "src1")).reset().add(_C("doc_num", "=", "fr")).add(_C("doc_num", "=", "de")).remove(1)
+    return grid.grid(process_files(spark, sf_dir), edited.items)
+
+
 @_query("SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 10 OFFSET 30")
 def page_n(spark, sf_dir):
     return grid.page(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), 3, 10, ["doc_id"])
@@ -274,7 +303,7 @@ def chart_downsampled(spark, sf_dir):
     return charts.downsample(e, "event_type", "t", "value", 200)
 
 
-@_query()
+@_query("WITH s AS (SELECT i, ('0x' || left(md5('42:' || i), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM range(20000) t(i)) SELECT i, DATE '1968-10-04' + i::INT AS day, (sum(CASE WHEN i = 0 THEN floor(u * 300) ELSE floor((u - 0.5) * 20 + 0.5) END) OVER (ORDER BY i))::BIGINT AS v FROM s")
 def random_walk(spark, sf_dir):
     return charts.random_walk(spark, 20_000, 42)
 
@@ -304,9 +333,9 @@ def doc_generate(spark, sf_dir):
     return documents.generate(spark, _N).drop("user_id")
 
 
-@_query(f"WITH {_GENERATED} SELECT doc_id, doc_name, doc_type FROM g WHERE doc_type IN ('PDF', 'CSV') AND doc_name LIKE '%Guide%' AND doc_status <> 'deleted'")
+@_query(f"WITH {_GENERATED} SELECT doc_id, doc_name, doc_type FROM g WHERE doc_type IN ('DOCX', 'PPTX') AND doc_name LIKE '%Guide%' AND doc_status <> 'deleted'")
 def doc_query_in_like(spark, sf_dir):
-    conditions = [_C("doc_type", "IN", ["PDF", "CSV"]), _C("doc_name", "LIKE", "%Guide%"), _C("doc_status", "!=", "deleted")]
+    conditions = [_C("doc_type", "IN", ["DOCX", "PPTX"]), _C("doc_name", "LIKE", "%Guide%"), _C("doc_status", "!=", "deleted")]
     return documents.query(documents.generate(spark, _N), conditions).select("doc_id", "doc_name", "doc_type")
 
 
@@ -452,10 +481,9 @@ def fmt_ts(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", *[F.date_format("ts", f).alias(c) for c, f in forms.items()])
 
 
-@_query("SELECT o_orderkey, '£' || regexp_replace(floor(o_totalprice)::BIGINT::VARCHAR, '(\\d)(?:(\\d{3})?(\\d{3}))$', '\\1,\\3') AS price FROM orders WHERE o_totalprice >= 1000 AND o_totalprice < 1000000")
+@_query("SELECT o_orderkey, '£' || regexp_replace(format('{:,.3f}', o_totalprice), '\\.?0+$', '') AS price FROM orders")
 def format_currency(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").where("o_totalprice >= 1000 AND o_totalprice < 1000000")
-    return o.select("o_orderkey", F.concat(F.lit("£"), F.format_number(F.floor("o_totalprice"), 0)).alias("price"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", scalars.currency(F.col("o_totalprice")).alias("price"))
 
 
 @_query("SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS returned FROM lineitem")
@@ -466,3 +494,185 @@ def status_flag(spark, sf_dir):
 @_query("SELECT doc_id, lang FROM documents UNION ALL SELECT conv_id, role FROM conversations")
 def append_records(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", "lang").unionByName(_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("lang")))
+
+
+# ---------------------------------------------------------------- stores, requests and files
+
+
+@_query("SELECT t AS table_name, c AS columns, 0::BIGINT AS row_count FROM (VALUES ('documents', 17), ('process_status', 6), ('schedules', 14)) v(t, c)")
+def create_tables(spark, sf_dir):
+    """Makes each table twice; the second time changes nothing."""
+    at, out = scratch_folder(spark), None
+    for name, schema in (("documents", DOCUMENTS), ("process_status", PROCESS_STATUS), ("schedules", SCHEDULES)):
+        documents.create_if_absent(spark, f"{at}/{name}", schema)
+        documents.create_if_absent(spark, f"{at}/{name}", DOCUMENTS)
+        made = spark.read.parquet(f"{at}/{name}")
+        row = made.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), F.lit(len(made.columns)).alias("columns"), "row_count")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@_query("SELECT o_orderstatus AS status_value, 2 * count(*) AS rcd_count, count(*) * 0 + 2 AS snapshots FROM orders GROUP BY o_orderstatus")
+def snapshot_appended(spark, sf_dir):
+    """Two snapshots of a table and one of an empty table, which adds nothing, read back from their history."""
+    at, orders = scratch_folder(spark), _table(spark, sf_dir, "orders")
+    for df in (orders, orders.limit(0), orders):
+        snapshot.append_snapshot(df, ["o_orderstatus"], "daily", at)
+    return spark.read.parquet(at).groupBy("status_value").agg(F.sum("rcd_count").alias("rcd_count"), F.count("*").alias("snapshots"))
+
+
+@_query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def save_retrieve(spark, sf_dir):
+    at, nation = scratch_folder(spark), _table(spark, sf_dir, "nation")
+    records.save(nation, at)
+    records.save(nation.where("n_regionkey = 1"), at)
+    return records.retrieve(spark, at, ["n_nationkey", "n_name"])
+
+
+@_query("SELECT '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"quality\":' || coalesce(quality::VARCHAR, 'null') || '}' AS row FROM documents LEFT JOIN labels USING (doc_id)")
+def json_rows(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    return records.json_rows(d.select("doc_id", "lang", "quality"))
+
+
+_TEMPLATE = (
+    ("creative_writing", "Creative writing assistant", "Active", "Writing", "User Entered", "writing,creative", "user1"),
+    ("code_reviewer", "Code review assistant", "Active", "Programming", "User Entered", "programming,code", "user2"),
+)
+_TEMPLATE_FIELDS = "PromptName PromptDesc Status PromptPurpose PromptSource PromptTags Creator".split()
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(str(r) for r in _TEMPLATE) + ") v(" + ", ".join(_TEMPLATE_FIELDS) + ")")
+def json_template(spark, sf_dir):
+    at = scratch_folder(spark)
+    spark.createDataFrame(_TEMPLATE, _TEMPLATE_FIELDS).coalesce(1).write.json(at)
+    return spark.read.json(at).select(*_TEMPLATE_FIELDS)
+
+
+@_query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def ingest_json(spark, sf_dir):
+    at = scratch_folder(spark) + ".json"
+    whole = F.to_json(F.collect_list(F.struct("n_nationkey", "n_name")))  # an upload is one array of at most 10 MiB
+    _table(spark, sf_dir, "nation").agg(whole).coalesce(1).write.text(at)
+    return ingest.read(spark, at).select("n_nationkey", "n_name")
+
+
+@_query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name FROM nation")
+def ingest_csv(spark, sf_dir):
+    at = scratch_folder(spark) + ".csv"
+    _table(spark, sf_dir, "nation").write.option("header", True).csv(at)
+    return ingest.read(spark, at).select("n_nationkey", "n_name")
+
+
+@_query("SELECT n_name AS value FROM nation")
+def ingest_txt(spark, sf_dir):
+    at = scratch_folder(spark) + ".txt"
+    _table(spark, sf_dir, "nation").select("n_name").write.text(at)
+    return ingest.read(spark, at)
+
+
+@_query("SELECT path, length, ext IN ('json', 'csv', 'txt') AND length <= 10485760 AS ok FROM (SELECT source || '.' || ['JSON', 'csv', 'exe'][(doc_id % 3 + 1)::INT] AS path, lower(['JSON', 'csv', 'exe'][(doc_id % 3 + 1)::INT]) AS ext, n_chars * 5000 AS length FROM documents)")
+def upload_gate(spark, sf_dir):
+    ext = F.element_at(F.array(F.lit("JSON"), F.lit("csv"), F.lit("exe")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return ingest.gate(_table(spark, sf_dir, "documents").select(F.concat("source", F.lit("."), ext).alias("path"), (F.col("n_chars") * 5000).alias("length")))
+
+
+@_query("SELECT r_regionkey, r_name FROM region")
+def read_by_name(spark, sf_dir):
+    _table(spark, sf_dir, "region").createOrReplaceTempView("siltbed_region")
+    return ingest.read_named(spark, "siltbed_region").select("r_regionkey", "r_name")
+
+
+@_query("SELECT count(*) AS n FROM documents WHERE lang = 'de' OR source = 'src1'")
+def request_count(spark, sf_dir):
+    request = {"request_type": "db_opr", "action": "count", "resource_name": "documents", "conditions": [("lang", "=", "de"), ("source", "=", "src1", "OR")]}
+    return records.respond(spark, request, {"documents": _table(spark, sf_dir, "documents")})
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'NOWHERE', NULL")
+def request_insert(spark, sf_dir):
+    request = {"request_type": "db_opr", "action": "insert", "resource_name": "nation", "resource_info": [{"n_nationkey": 99, "n_name": "NOWHERE"}]}
+    return records.respond(spark, request, {"nation": _table(spark, sf_dir, "nation")})
+
+
+# ---------------------------------------------------------------- views of a grid
+
+
+@_query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def visible_columns(spark, sf_dir):
+    return records.visible(_table(spark, sf_dir, "customer"), ["c_custkey", "c_nationkey", "c_mktsegment"], always=["c_custkey"])
+
+
+@_query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_nationkey, c_acctbal DESC, c_custkey) AS place FROM customer")
+def sort_columns(spark, sf_dir):
+    by = (("c_mktsegment", "desc"), ("c_nationkey", "asc"), ("c_acctbal", "desc"), ("c_custkey", "asc"))
+    top = records.ordered(_table(spark, sf_dir, "customer"), *by).select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    order = Window.orderBy(F.col("c_mktsegment").desc(), "c_nationkey", F.col("c_acctbal").desc(), "c_custkey")
+    return top.select("c_custkey", F.row_number().over(order).cast("long").alias("place"))
+
+
+@_query("SELECT n_name, CASE WHEN n_nationkey = 3 THEN 9 WHEN n_nationkey BETWEEN 4 AND 9 THEN n_nationkey - 1 ELSE n_nationkey END AS n_nationkey FROM nation")
+def moved_row(spark, sf_dir):
+    return records.moved(_table(spark, sf_dir, "nation").select("n_name", "n_nationkey"), "n_nationkey", 3, 9)
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1000")
+def row_cap(spark, sf_dir):
+    """The service's cap on the rows of an answer."""
+    return grid.limited(_table(spark, sf_dir, "orders"), 1000, F.col("o_totalprice").desc(), "o_orderkey").select("o_orderkey", "o_totalprice")
+
+
+@_query("SELECT lang, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang FROM documents) LEFT JOIN (SELECT lang, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND lang <> 'de' GROUP BY lang) USING (lang)")
+def null_count_zero(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    n = d.where("lang <> 'de'").join(_table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+    return d.select("lang").distinct().join(n, "lang", "left").na.fill(0, ["n"])
+
+
+@_query("SELECT name, widget, required, choices FROM (VALUES ('doc_id', 'number', false, []::VARCHAR[]), ('lang', 'select', false, ['en', 'de']), ('text', 'text', false, []), ('at', 'date', false, []), ('ok', 'checkbox', true, [])) v(name, widget, required, choices)")
+def form_fields(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.lit(None).cast("date").alias("at"), F.lit(True).alias("ok"))
+    return records.form_fields(d, {"lang": ["en", "de"]})
+
+
+@_query(f"WITH {_NODES} SELECT id, x - 1.5 AS px, (y - 1.5) * 2 AS py, z - 1.5 AS pz FROM (SELECT id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM n)")
+def cube_positions(spark, sf_dir):
+    n = nodes(spark, sf_dir)
+    at = lambda c, scale=1.0: records.shifted(F.col(c).cast("double"), 1.5, scale)
+    return n.select("id", at("x").alias("px"), at("y", 2.0).alias("py"), at("z").alias("pz"))
+
+
+@_query(f"WITH {_NODES} SELECT id, (x > 1)::INT + (y > 1)::INT + (z > 1)::INT AS axes, CASE (x > 1)::INT + (y > 1)::INT + (z > 1)::INT WHEN 3 THEN 'cube' WHEN 2 THEN 'matrix' ELSE 'none' END AS shape FROM n")
+def active_axes(spark, sf_dir):
+    return nodes(spark, sf_dir).select("id", *[c.alias(n) for n, c in zip(("axes", "shape"), knowledge.view_of(F.col("x") > 1, F.col("y") > 1, F.col("z") > 1), strict=True)])
+
+
+#: The rows of the car table.
+_CARS = (("Tesla", "Model Y", 64950, True), ("Ford", "F-Series", 33850, False), ("Toyota", "Corolla", 29600, False), ("Mercedes", "EQA", 48890, True), ("Fiat", "500", 15774, False), ("Nissan", "Juke", 20675, False))
+
+
+@_query("SELECT electric, count(*) AS n, sum(price)::BIGINT AS price, min(make) AS first_make FROM (VALUES ('Tesla', 64950, true), ('Ford', 33850, false), ('Toyota', 29600, false), ('Mercedes', 48890, true), ('Fiat', 15774, false), ('Nissan', 20675, false)) v(make, price, electric) GROUP BY electric")
+def inline_cars(spark, sf_dir):
+    cars = spark.createDataFrame(_CARS, "make string, model string, price long, electric boolean")
+    return cars.groupBy("electric").agg(F.count("*").alias("n"), F.sum("price").alias("price"), F.min("make").alias("first_make"))
+
+
+# ---------------------------------------------------------------- more rules
+
+
+@_query("""SELECT doc_id, concat_ws('; ', CASE WHEN lang NOT IN ('active', 'suspended', 'deleted') THEN 'status is not known' END,
+CASE WHEN source NOT IN ('user entered', 'uploaded', 'crawled') THEN 'source is not known' END, CASE WHEN length(place) <> 11 THEN 'place must have 11 characters' END) AS errors
+FROM (SELECT doc_id, ['active', 'gone', 'deleted'][(doc_id % 3 + 1)::INT] AS lang, ['uploaded', 'crawled', ''][(doc_id % 5 % 3 + 1)::INT] AS source, repeat('x', 10 + (doc_id % 2)::INT) AS place FROM documents)""")
+def enum_rules(spark, sf_dir):
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    i = F.col("doc_id")
+    rules = ingest.enum_rules(pick(("active", "gone", "deleted"), i % 3), pick(("uploaded", "crawled", ""), i % 5 % 3), F.repeat(F.lit("x"), (i % 2 + 10).cast("int")))
+    return _table(spark, sf_dir, "documents").select("doc_id", scalars.errors(rules).alias("errors"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND (doc_id % 3 = 0 OR doc_id % 3 = 1) THEN 'email and cell phone cannot both be missing' ELSE '' END AS errors, doc_id % 4 = 1 AS chosen FROM documents")
+def contact_rules(spark, sf_dir):
+    i = F.col("doc_id")
+    email, phone = F.when(i % 2 == 0, None).otherwise("a@example.com"), F.when(i % 3 == 0, None).when(i % 3 == 1, " ").otherwise("555")
+    chosen = F.when(i % 4 == 1, F.array(F.lit("a"))).when(i % 4 == 2, F.array().cast("array<string>"))
+    return _table(spark, sf_dir, "documents").select("doc_id", scalars.errors(ingest.contact_rules(email, phone)).alias("errors"), scalars.filled(chosen).alias("chosen"))

@@ -1,5 +1,8 @@
 """Sessions for local runs; on a cluster the caller brings its own."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +14,13 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     spark = SparkSession.builder.master(f"local[{cores}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, a temporary one in local mode, an error on a cluster."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="siltbed-")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltbed.functions.scalars import errors, file_extension, is_name, present
+from siltbed.functions.scalars import at_least_one, errors, file_extension, is_name, one_of, present
 
 KINDS = ("json", "csv", "txt")
 MOST_BYTES = 10 * 1024 * 1024
@@ -28,6 +28,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for {path!r}")
 
 
+def read_named(spark: SparkSession, name: str) -> DataFrame:
+    """A table or view of the session's catalogue."""
+    return spark.table(name)
+
+
 def read_table(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A database table; filters and columns are pushed to the database."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
@@ -44,6 +49,24 @@ def prompt_rules(name: Column, description: Column, content: Column, creator: Co
     }
 
 
+#: Fixed values of a prompt record: its states, its sources, and the length of a place.
+STATES = ("active", "suspended", "deleted")
+SOURCES = ("user entered", "uploaded", "crawled")
+PLACE = 11
+
+
+def enum_rules(status: Column, source: Column, creator_loc: Column) -> dict[str, Column]:
+    return {
+        "status is not known": one_of(status, STATES),
+        "source is not known": one_of(source, SOURCES),
+        f"place must have {PLACE} characters": F.length(creator_loc) == PLACE,
+    }
+
+
+def contact_rules(email: Column, phone: Column) -> dict[str, Column]:
+    return {"email and cell phone cannot both be missing": at_least_one(email, phone)}
+
+
 def check(rows: DataFrame, rules: dict[str, Column], key: str, order: str, existing: DataFrame | None = None) -> DataFrame:
     """rows with errors and outcome: 'error', 'duplicate' (an earlier valid row, or existing, has the key) or 'created'."""
     out = rows.withColumn("errors", errors(rules)).withColumn("_bad", (F.col("errors") != "").cast("int"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from siltbed.functions import scalars
 from siltbed.functions.predicates import Condition, Group, chain, tree
-from siltbed.operators import charts, documents, snapshot
+from siltbed.operators import charts, documents, records, snapshot
 from siltbed.schemas import DOCUMENTS
 from siltbed.sources import ingest
 from siltbed.streaming.snapshots import run_snapshots
@@ -74,3 +74,47 @@ def test_ingest(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c d")], "i int, name string")
     out = ingest.check(rows, {"bad": scalars.is_name(F.col("name"))}, "name", "i", spark.createDataFrame([("b",)], "name string"))
     assert [r.outcome for r in out.orderBy("i").collect()] == ["created", "duplicate", "duplicate", "error"]
+
+
+def test_predicates_without_case(spark):
+    df = spark.createDataFrame([(9, "b"), (10, "B"), (100, "c\\")], "k long, s string")
+    keep = lambda *cs: [r.k for r in df.where(chain(df, cs, ci=True)).orderBy("k").collect()]
+    assert keep(Condition("k", ">=", "10")) == [10, 100] and keep(Condition("k", "between", "10", "AND", "11")) == [10]
+    assert keep(Condition("s", "between", "B", "AND", "Bz")) == [9, 10] and keep(Condition("s", "LIKE", "%\\")) == [100]
+    assert keep(Condition("s", "IN", ["B"])) == [9, 10] and keep(Condition("k", "IN", ["9", "x"])) == [9]
+
+
+def test_stream_batch_again(spark, tmp_path):
+    """A stream that goes on from its checkpoint counts new files alone; a batch run again does not count twice."""
+    source, history, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    df = spark.createDataFrame([("a",), ("b",)], "s string")
+    run = lambda: run_snapshots(spark, source, df.schema, ["s"], "t", history, checkpoint).awaitTermination()
+    df.write.parquet(source)
+    run()
+    df.where("s = 'a'").write.mode("append").parquet(source)
+    run()
+    for commit in (tmp_path / "cp" / "commits").glob("1*"):  # as if it had failed after the batch was written
+        commit.unlink()
+    for crc in (tmp_path / "cp" / "commits").glob(".1*"):
+        crc.unlink()
+    run()
+    got = spark.read.parquet(history).groupBy("status_value").sum("rcd_count").collect()
+    assert {r[0]: r[1] for r in got} == {"a": 2, "b": 1}
+
+
+def test_jdbc_table(spark):
+    url = "jdbc:derby:memory:siltbed;create=true"
+    spark.range(5).select(F.col("id").cast("int").alias("K"), F.lit("x").alias("S")).write.jdbc(url, "NUMBERS", mode="overwrite", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    read = ingest.read_table(spark, url, "NUMBERS", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").where("K > 2").select("K")
+    assert sorted(r.K for r in read.collect()) == [3, 4]
+    assert "PushedFilters: [*IsNotNull(K), *GreaterThan(K,2)]" in read._jdf.queryExecution().toString()
+
+
+def test_requests(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, s string")
+    ask = lambda **r: records.respond(spark, {"request_type": "db_opr", "resource_name": "t", **r}, {"t": df})
+    assert [tuple(r) for r in ask(action="query", conditions=[("k", ">", "1")], resource_info=["s"]).collect()] == [("b",)]
+    assert records.json_rows(df.limit(0)).count() == 0
+    for bad in ({"action": "drop"}, {"action": "query", "resource_name": "u"}, {"action": "query", "request_type": "x"}):
+        with pytest.raises(ValueError):
+            ask(**bad)
