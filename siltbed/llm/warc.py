@@ -33,16 +33,22 @@ BLOCKS = frozenset(
 TEXTUAL = ("application/xhtml+xml", "application/xml", "application/json", "application/javascript")
 
 # each pattern is only matched at one place and takes what it has read, so a page is read in linear time
-_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_NEXT = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)(>)?)")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDDEN_END = {name: re.compile(f"</{name}(?=[\\s/>])", re.I | re.A) for name in HIDDEN}
 
 
-def _tag(page: str, at: int) -> tuple[dict[str, str], int]:
-    """The attributes that begin at a place, the first of each name, and the place after the tag's end."""
+def _tag(page: str, at: int, wanted: bool) -> tuple[dict[str, str], int]:
+    """The attributes that begin at a place, the first of each name, if wanted, and the place after the tag's end."""
     found: dict[str, str] = {}
+    end = page.find(">", at)
+    if end >= 0 and not wanted:  # most tags end at the next such sign: it is in no value if quotes are even before it
+        inside = page[at:end]
+        if inside.count('"') % 2 == 0 and "'" not in inside:
+            return found, end + 1
     while m := _ATTRIBUTE.match(page, at):
-        found.setdefault(m[1].lower(), next((x for x in m.groups()[1:] if x is not None), ""))
+        name, *values = m.groups()
+        found.setdefault(name.lower(), next((x for x in values if x is not None), ""))
         at = m.end()
     end = page.find(">", at)
     return found, len(page) if end < 0 else end + 1
@@ -54,40 +60,34 @@ def read_page(page: str) -> tuple[str, str | None, list[str]]:
     links: list[str] = []
     title: list[int] | None = None
     at, closed = 0, page.rfind(">")  # no tag ends beyond that
-    while True:
-        lt = page.find("<", at)
-        if lt < 0 or lt > closed:
-            out.append(page[at:])
-            break
-        out.append(page[at:lt])
-        if page.startswith("<!--", lt):
-            at = page.find("-->", lt + 2) + 3
-            if at < 3:
-                break
-            out.append(" ")
-        elif page[lt + 1 : lt + 2] in ("!", "?"):
-            at = page.find(">", lt) + 1
-        elif m := _NAME.match(page, lt + 1):
-            name, opens = m[1].lower(), page[lt + 1] != "/"
-            attributes, at = _tag(page, m.end())
+    while (m := _NEXT.search(page, at)) and m.start() < closed:
+        out.append(page[at : m.start()])
+        comment, mark, slash, name, gt = m.groups()
+        at = m.end()
+        if name:
+            name = name.lower()
+            attributes, at = ({}, at) if gt else _tag(page, at, name == "a" and not slash)
             if name in BLOCKS:
                 out.append("\n")
-            if name == "a" and opens and "href" in attributes:
-                links.append(html.unescape(attributes["href"]).translate({13: None, 10: None}))
-            elif name == "title":
-                if opens:
-                    title = title or [len(out)]
-                elif title and len(title) == 1:
-                    title.append(len(out))
-            elif name in HIDDEN and opens:
+                if name == "title":
+                    if not slash:
+                        title = title or [len(out)]
+                    elif title and len(title) == 1:
+                        title.append(len(out))
+            elif name == "a":
+                if "href" in attributes:
+                    links.append(html.unescape(attributes["href"]).translate({13: None, 10: None}))
+            elif name in HIDDEN and not slash:
                 end = _HIDDEN_END[name].search(page, at)
-                if not end:
-                    break
                 out.append(" ")
-                at = end.start()
+                at = end.start() if end else len(page)
+        elif mark:
+            at = page.find(">", at) + 1
         else:
-            out.append("<")
-            at = lt + 1
+            end = page.find("-->", m.start() + 2)
+            out.append(" ")
+            at = end + 3 if end >= 0 else len(page)
+    out.append(page[at:])
     lines = (" ".join(html.unescape(line).split()) for line in "".join(out).split("\n"))
     named = " ".join(html.unescape("".join(out[title[0] : title[1]])).split()) if title and len(title) == 2 else None
     return "\n".join(line for line in lines if line), named, links
