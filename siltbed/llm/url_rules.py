@@ -1,9 +1,11 @@
 """Operator 2: URL rules by a sort-merge range join, in built-in functions only.
 
 A host is written with its labels reversed and a closing dot (www.example.com: com.example.www.), so a rule host
-and all its subdomains are one interval of keys. Rules and urls are sorted together into ranges; a sweep along
-each range keeps, for every nesting depth, the rule host opened last. An entry whose key no longer starts the
-current key has been passed and counts as popped, so the live entries are the stack of nested rule hosts.
+and all its subdomains are one interval of keys; the rules of one host are intervals of paths. Urls and rules are
+sorted together into ranges and swept twice: along hosts, for the rule hosts that a url's host lies in, and along
+(rule host, path), for the longest path of each. When a rule is opened, the rules it is nested in are those whose keys
+its own begins with, and they are stored with it: that is the stack. Entries whose key no longer begins the current
+one are passed and count as popped. Of all rules that begin a key, the last one opened before it has all in its stack.
 """
 
 from __future__ import annotations
@@ -35,49 +37,60 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
+def nested(rules: DataFrame) -> DataFrame:
+    """rules (place, key, action) with stack: key and action of each rule of the place that the key begins with, itself too."""
+    rules = cut(rules)
+    begins = rules.select("place", "key", F.explode(F.sequence(F.lit(0), F.length("key"))).alias("n")).select("place", "key", F.substring("key", F.lit(1), F.col("n")).alias("outer"))
+    outer = rules.select("place", F.col("key").alias("outer"), "action")
+    return begins.join(outer, ["place", "outer"]).groupBy("place", "key").agg(F.collect_list(F.struct(F.col("outer").alias("key"), "action")).alias("stack"))
+
+
+def sweep(points: DataFrame, rules: DataFrame) -> DataFrame:
+    """points (place, key and others) with live: the entries (key, action) of nested rules (place, key, stack) that begin its key.
+
+    Points are dealt out by (place, key, hash), so a key with a third of all rows spreads over many ranges. What is
+    carried into a range is one row per range, and each range is swept by a window that spills.
+    """
+    point = F.struct(*[c for c in points.columns if c not in ("place", "key")])
+    events = points.select("place", "key", F.lit(1).alias("kind"), F.xxhash64("key", point).alias("salt"), point.alias("point"))
+    events = events.unionByName(rules.select("place", "key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("salt"), "stack"), allowMissingColumns=True)
+    order = ["place", "key", "kind", "salt"]
+    ranges = cut(events.repartitionByRange(*order).withColumn("block", F.spark_partition_id()))
+    opened = F.when(F.col("kind") == 0, F.struct("place", "stack"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranges.groupBy("block").agg(F.max_by(opened, F.when(F.col("kind") == 0, F.struct("place", "key"))).alias("last"))
+    carried = carried.select("block", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    along = Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = ranges.withColumn("last", F.last(opened, ignorenulls=True).over(along)).where("kind = 1")
+    swept = swept.join(F.broadcast(carried), "block").withColumn("last", F.coalesce("last", "carried"))  # a row per range: as many as shuffle partitions
+    stack = F.when(F.col("last.place") == F.col("place"), F.col("last.stack"))
+    live = F.filter(F.coalesce(stack, F.array().cast(rules.schema["stack"].dataType)), lambda r: F.startswith(F.col("key"), r["key"]))
+    return swept.select("place", "key", "point.*", live.alias("live"))
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict for every row of pages; rules has host, path and action.
 
     The longest rule that fits wins; of equal rules block wins. Without a fitting rule the verdict is default. Rules
     with a null field or an empty host are ignored; a rule's host is lower-cased. A null url, or one without ://, has
     an empty host and path. Repeated rows are judged each on its own, null ids stay; other columns are dropped.
-    Empty pages give an empty table; empty rules give default verdicts.
-
-    Urls are dealt out by (key, hash of the row), so a host with a third of all rows spreads over many ranges. What is
-    carried into a range is one row per range, and each range is swept by a window that spills.
+    Empty pages give an empty table; empty rules give default verdicts. A url is swept once for each rule host that
+    its host lies in, as many as it has labels at most.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    by_host = (
-        rules.select(ascii_lower("host").alias("host"), "path", "action")
-        .where("host <> '' AND path IS NOT NULL AND action IS NOT NULL")
-        .groupBy("host")
-        .agg(F.collect_set(F.struct(F.concat("host", "path").alias("rule"), "path", "action")).alias("rules"))
-        .select(host_key(F.col("host")).alias("key"), "rules", F.size(F.split("host", r"\.", -1)).alias("depth"))
-    )
-    depths = sorted(r[0] for r in by_host.select("depth").distinct().collect())  # one number per count of labels in a host
-    slots = [f"slot_{d}" for d in depths]
-
-    events = urls.select(
-        host_key(F.col("host")).alias("key"), F.lit(1).alias("kind"), F.xxhash64("page_id", "path").alias("salt"), "page_id", "host", "path",
-        F.lit(None).cast(by_host.schema["rules"].dataType).alias("rules"), F.lit(None).cast("int").alias("depth"),
-    ).unionByName(by_host.select("key", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("salt"), "rules", "depth"), allowMissingColumns=True)
-    order = ["key", "kind", "salt"]
-    ranges = cut(events.repartitionByRange(*order).withColumn("block", F.spark_partition_id()))
-
-    opened = lambda d: F.when((F.col("kind") == 0) & (F.col("depth") == d), F.struct("key", "rules"))
-    last = lambda s, w: F.last(s, ignorenulls=True).over(w)
-    carried = ranges.groupBy("block").agg(F.count("*").alias("n"), *[F.max_by(opened(d), F.when(opened(d).isNotNull(), F.col("key"))).alias(s) for d, s in zip(depths, slots, strict=True)])
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select("block", *[last(F.col(s), before).alias(f"before_{s}") for s in slots])
-    along = Window.partitionBy("block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = ranges.select("*", *[last(opened(d), along).alias(s) for d, s in zip(depths, slots, strict=True)]).where("kind = 1")
-    swept = swept.join(F.broadcast(carried), "block")  # a row per range: as many as shuffle partitions
-
-    stack = F.array(*[F.coalesce(s, f"before_{s}") for s in slots]) if slots else F.array().cast("array<struct<key:string,rules:array<struct<rule:string,path:string,action:string>>>>")
-    live = F.flatten(F.transform(F.filter(stack, lambda s: F.startswith(F.col("key"), s["key"])), lambda s: s["rules"]))
-    fits = F.filter(live, lambda r: F.startswith(F.col("path"), r["path"]))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["action"].alias("action"), r["rule"].alias("rule"))))
-    return swept.withColumn("best", best).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    known = rules.select(ascii_lower("host").alias("place"), F.col("path").alias("key"), "action")
+    known = cut(known.where("place <> '' AND key IS NOT NULL AND action IS NOT NULL").groupBy("place", "key").agg(F.max("action").alias("action")))
+    hosts = known.select("place").distinct().select(F.lit("").alias("place"), host_key(F.col("place")).alias("key"), F.col("place").alias("action"))
+
+    found = sweep(urls.select(F.lit("").alias("place"), host_key(F.col("host")).alias("key"), "page_id", "host", "path", F.monotonically_increasing_id().alias("row")), nested(hosts))
+    found = cut(found.select("page_id", "host", "path", "row", F.transform("live", lambda h: h["action"]).alias("places")))
+    each = found.select("page_id", "host", F.col("path").alias("key"), "row", F.explode("places").alias("place"))
+    rule = F.transform("live", lambda r: F.struct((F.length("place") + F.length(r["key"])).alias("n"), r["action"].alias("action"), F.concat("place", r["key"]).alias("rule")))
+    judged = sweep(each, nested(known)).select("page_id", "host", F.col("key").alias("path"), "row", F.array_max(rule).alias("best"))
+    rest = found.where("size(places) = 0").select("page_id", "host", "path", "row")
+    # a page's rows agree in all but the rule
+    out = judged.unionByName(rest, allowMissingColumns=True).groupBy("row").agg(*[F.first(c).alias(c) for c in ("page_id", "host", "path")], F.max("best").alias("best"))
+    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

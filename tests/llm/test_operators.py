@@ -72,6 +72,18 @@ def test_url_rules(spark):
     assert url_rules.filter_urls(pages.limit(0), empty).count() == 0
 
 
+def test_many_path_rules(spark):
+    """A host with 100,000 rules, some nested in others, and urls whose longest rule is known; ties of length go to block."""
+    rules = spark.range(100_000).select(F.lit("a.com").alias("host"), F.format_string("/%05d/", "id").alias("path"), F.when(F.col("id") % 2 == 0, "block").otherwise("allow").alias("action"))
+    more = [("a.com", "/0000", "allow"), ("a.com", "/00007/x", "block"), ("b.a.com", "/00008", "allow"), ("a.com", "/00008/y", "block"), ("com", "", "block")]
+    rules = rules.unionByName(spark.createDataFrame(more, "host string, path string, action string"))
+    urls = {1: "/00007/xy", 2: "/00007/y", 3: "/0000", 4: "/00008/y", 5: "/99999/", 6: "/99999", 7: ""}
+    pages = spark.createDataFrame([(i, "http://b.a.com" + u) for i, u in urls.items()], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.filter_urls(pages, rules, default="none").collect()}
+    want = {1: ("a.com/00007/x", "block"), 2: ("a.com/00007/", "allow"), 3: ("a.com/0000", "allow"), 4: ("a.com/00008/y", "block"), 5: ("a.com/99999/", "allow"), 6: ("com", "block"), 7: ("com", "block")}
+    assert got == want
+
+
 def test_line_quality(spark):
     text = "One two three four five six seven eight.\nOne two three four five six seven eight.\nAll rights reserved. Copyright.\na | b | c | d\nend"
     r = line_quality.line_first_clean(docs(spark, [(1, text)])).first()
