@@ -47,11 +47,11 @@ def largest_triangles(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     """Places of at most n points that keep the shape of a line (Steinarsson 2013)."""
     if n >= len(x) or n < 3:
         return np.arange(len(x))
-    edges = np.floor(np.linspace(1, len(x) - 1, n - 1)).astype(int)
+    edges = 1 + np.arange(n - 1) * (len(x) - 2) // (n - 2)
     kept = [0]
     for i in range(n - 2):
-        a, b = edges[i], max(edges[i + 1], edges[i] + 1)
-        c = (b, max(edges[i + 2], b + 1)) if i + 2 < len(edges) else (len(x) - 1, len(x))
+        a, b = edges[i], edges[i + 1]
+        c = (b, edges[i + 2]) if i + 2 < len(edges) else (len(x) - 1, len(x))
         cx, cy = x[c[0] : c[1]].mean(), y[c[0] : c[1]].mean()
         p = kept[-1]
         area = np.abs((x[p] - cx) * (y[a:b] - y[p]) - (x[p] - x[a:b]) * (cy - y[p]))
@@ -59,14 +59,84 @@ def largest_triangles(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     return np.array([*kept, len(x) - 1])
 
 
-def downsample(df: DataFrame, by: str, x: str, y: str, n: int) -> DataFrame:
-    """At most n points of each series; a series is one task's group, so it must fit in memory."""
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points (a row each of x and y), ordered by x and y."""
+    points = np.unique(points, axis=0)
+    chains = []
+    for side in (1, -1):
+        chain = []
+        for p in points.tolist():
+            while len(chain) > 1:
+                (ax, ay), (bx, by) = chain[-2:]
+                if side * ((bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)) > 0:
+                    break
+                chain.pop()
+            chain.append(p)
+        chains += chain
+    return np.unique(np.array(chains).reshape(-1, 2), axis=0)
+
+
+def _corners(g: pd.DataFrame) -> pd.DataFrame:
+    corners = hull(g[["x", "y"]].to_numpy(float))
+    return g.iloc[[0] * len(corners)].assign(x=corners[:, 0], y=corners[:, 1])
 
-    def pick(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([x, y], kind="stable")
-        return g.iloc[largest_triangles(g[x].to_numpy(float), g[y].to_numpy(float), n)]
 
-    return df.select(by, x, y).groupBy(by).applyInPandas(pick, df.select(by, x, y).schema)
+def _triangles(n: int):
+    """Picks the points of one series from the corners of its buckets, which stand in the order of their numbers."""
+
+    def pick(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["bucket", "x", "y"], kind="stable").reset_index(drop=True)
+        total = g["total"].iloc[0]
+        if total <= n:
+            return g.loc[g.index.repeat(g["copies"]), ["by", "x", "y"]]
+        buckets = [b for _, b in g.groupby("bucket")]
+        kept = [buckets[0].iloc[0]]
+        for b, after in zip(buckets[1:-1], buckets[2:], strict=True):
+            cx, cy, p = after["cx"].iloc[0], after["cy"].iloc[0], kept[-1]
+            x, y = b["x"].to_numpy(), b["y"].to_numpy()
+            area = np.abs((p["x"] - cx) * (y - p["y"]) - (p["x"] - x) * (cy - p["y"]))
+            kept.append(b.iloc[int(np.argmax(area))])
+        kept.append(buckets[-1].iloc[0])
+        return pd.DataFrame(kept)[["by", "x", "y"]]
+
+    return pick
+
+
+def downsample(df: DataFrame, by: str, x: str, y: str, n: int, cell_rows: int = 100_000) -> DataFrame:
+    """At most n points of each series that keep its shape, as largest_triangles() picks them; x and y as doubles.
+
+    Points get their place in the series from counts of cells, equal ranges of x of about cell_rows points, so a series
+    is sorted in parts; points crowded in a small range of x are one part's. A triangle's area is largest at a corner of the convex hull of a bucket's points, so the
+    corners of each part, then of each bucket, are all that the walk along a series reads: n small groups.
+    A bucket's mean is the sum of its points over their number. Points where x or y is null or NaN are left out; a null
+    series is one of its own. All points of a series with n or fewer, and equal points there, are kept; n is at least 3.
+    """
+    if n < 3:
+        raise ValueError("n must be 3 or more")
+    p = df.select(F.col(by).alias("by"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x = x AND y = y AND NOT isnan(x) AND NOT isnan(y)")
+    size = p.groupBy("by").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("total"))
+    cells = F.floor(F.col("total") / cell_rows) + 1
+    at = F.coalesce(F.floor((F.col("x") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * cells), F.lit(0)).cast("long")
+    p = p.join(size.withColumnRenamed("by", "of"), F.col("by").eqNullSafe(F.col("of"))).select("by", "x", "y", "total", at.alias("cell"))
+    before = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = p.groupBy(F.col("by").alias("of"), F.col("cell").alias("at")).agg(F.count("*").alias("k"))
+    counts = counts.select("of", "at", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))
+    p = p.join(counts, F.col("by").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("at"))).drop("of", "at")
+    place = F.col("start") + F.row_number().over(Window.partitionBy("by", "cell").orderBy("x", "y")) - 1
+    inner = F.expr(f"(place * {n - 2} - 1) div (total - 2)") + 1
+    bucket = F.when((F.col("total") <= n) | (F.col("place") == 0), F.lit(0)).when(F.col("place") == F.col("total") - 1, F.lit(n - 1)).otherwise(inner)
+    p = p.withColumn("place", place).withColumn("bucket", bucket.cast("int"))
+    p = p.select("by", "cell", "bucket", "total", "x", "y")
+    all_of = p.where(F.col("total") <= n).groupBy("by", "bucket", "total", "x", "y").agg(F.count("*").alias("copies"))
+    many = p.where(F.col("total") > n)
+    mean = many.groupBy(F.col("by").alias("of"), F.col("bucket").alias("at")).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    corners = many.groupBy("by", "cell", "bucket").applyInPandas(_corners, many.schema)
+    corners = corners.groupBy("by", "bucket").applyInPandas(_corners, many.schema)
+    corners = corners.join(mean, F.col("by").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
+    none = F.lit(None).cast("double")
+    read = corners.select("by", "bucket", "total", "x", "y", "cx", "cy", F.lit(1).cast("long").alias("copies"))
+    read = read.unionByName(all_of.select("by", "bucket", "total", "x", "y", none.alias("cx"), none.alias("cy"), "copies"))
+    return read.groupBy("by").applyInPandas(_triangles(n), read.select("by", "x", "y").schema).select(F.col("by").alias(by), F.col("x").alias(x), F.col("y").alias(y))
 
 
 def random_walk(spark, n: int, seed: int, block: int = 1000) -> DataFrame:

@@ -40,13 +40,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def process_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
     known = {
-        "id": F.col("doc_id"), "std_name": F.left("text", F.lit(24)), "std_no": F.col("lang"), "rel_file_path": F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")),
+        "id": F.col("doc_id"), "std_name": F.col("text"), "std_no": F.col("lang"), "rel_file_path": F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")),
         "status": F.col("source"), "data_proc_status": F.col("quality").cast("string"), "chunk_proc_status": F.col("toxic").cast("string"),
     }
     return d.select(*[known.get(c, F.lit(None).cast("string")).alias(c) for c in PROCESS_FILE])
 
 
-_KNOWN = {"id": "doc_id", "std_name": "left(text, 24)", "std_no": "lang", "rel_file_path": "'/' || source || '/' || doc_id", "status": "source", "data_proc_status": "quality::VARCHAR", "chunk_proc_status": "toxic::VARCHAR"}
+_KNOWN = {"id": "doc_id", "std_name": "text", "std_no": "lang", "rel_file_path": "'/' || source || '/' || doc_id", "status": "source", "data_proc_status": "quality::VARCHAR", "chunk_proc_status": "toxic::VARCHAR"}
 _FILES = "files AS (SELECT " + ", ".join(f"{_KNOWN.get(c, 'NULL::VARCHAR')} AS {c}" for c in PROCESS_FILE) + " FROM documents LEFT JOIN labels USING (doc_id))"
 _GRID = ", ".join(f"id::VARCHAR AS {v}" if k == "id" else f"coalesce({k}::VARCHAR, '') AS {v}" for k, v in PROCESS_FILE.items())
 
@@ -75,10 +75,10 @@ _SALES = "s AS (SELECT o_orderdate AS order_datetime, o_totalprice AS sales, o_o
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.left("text", F.lit(16)).alias("title"), (F.col("doc_id") % 5).cast("int").alias("x"), (F.col("n_chars") % 4).cast("int").alias("y"), (F.floor(F.col("doc_id") / 4) % 4).cast("int").alias("z"))
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("title"), (F.col("doc_id") % 5).cast("int").alias("x"), (F.col("n_chars") % 4).cast("int").alias("y"), (F.floor(F.col("doc_id") / 4) % 4).cast("int").alias("z"))
 
 
-_NODES = "n AS (SELECT doc_id AS id, left(text, 16) AS title, (doc_id % 5)::INT AS x, (n_chars % 4)::INT AS y, ((doc_id // 4) % 4)::INT AS z FROM documents)"
+_NODES = "n AS (SELECT doc_id AS id, text AS title, (doc_id % 5)::INT AS x, (n_chars % 4)::INT AS y, ((doc_id // 4) % 4)::INT AS z FROM documents)"
 
 
 def levels(spark: SparkSession) -> DataFrame:
@@ -229,9 +229,9 @@ def remove_row(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where(F.col("doc_id") != 5).select("doc_id", "lang")
 
 
-@_query("SELECT doc_id, n_chars, left(text, 24) AS doc_name, left(text, 24) IS DISTINCT FROM trim(left(text, 24)) AS modified FROM documents")
+@_query("WITH d AS (SELECT doc_id, n_chars, text || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END AS doc_name FROM documents) SELECT *, doc_name IS DISTINCT FROM trim(doc_name) AS modified FROM d")
 def detail_modified(spark, sf_dir):
-    name = F.left("text", F.lit(24))
+    name = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " ").otherwise(""))
     return _table(spark, sf_dir, "documents").select("doc_id", "n_chars", name.alias("doc_name"), (~name.eqNullSafe(F.trim(name))).alias("modified"))
 
 
@@ -406,14 +406,15 @@ def selection_toggle(spark, sf_dir):
 
 # ---------------------------------------------------------------- rules and ingest
 
-_PROMPTS = "p AS (SELECT doc_id, source AS prompt_name, left(text, (doc_id % 700)::INT) AS prompt_desc, left(text, (doc_id % 9)::INT) AS prompt_content, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ' ' ELSE lang END AS creator FROM (SELECT doc_id, text, lang, CASE WHEN doc_id % 5 = 0 THEN source || '-x' ELSE source || '_' || doc_id // 3 END AS source FROM documents))"
+_PROMPTS = "p AS (SELECT doc_id, source AS prompt_name, CASE WHEN doc_id % 4 = 0 THEN text ELSE lang END AS prompt_desc, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 9 < 5 THEN lang ELSE text END AS prompt_content, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ' ' ELSE lang END AS creator FROM (SELECT doc_id, text, lang, CASE WHEN doc_id % 5 = 0 THEN source || '-x' ELSE source || '_' || doc_id // 3 END AS source FROM documents))"
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
     name = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("-x"))).otherwise(F.concat("source", F.lit("_"), F.floor(F.col("doc_id") / 3).cast("string")))
     creator = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 11 == 0, " ").otherwise(F.col("lang"))
-    return d.select("doc_id", name.alias("prompt_name"), F.left("text", (F.col("doc_id") % 700).cast("int")).alias("prompt_desc"), F.left("text", (F.col("doc_id") % 9).cast("int")).alias("prompt_content"), creator.alias("creator"))
+    content = F.when(F.col("doc_id") % 9 == 0, "").when(F.col("doc_id") % 9 < 5, F.col("lang")).otherwise(F.col("text"))
+    return d.select("doc_id", name.alias("prompt_name"), F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.col("lang")).alias("prompt_desc"), content.alias("prompt_content"), creator.alias("creator"))
 
 
 _RULES = """concat_ws('; ', CASE WHEN NOT regexp_full_match(prompt_name, '[a-zA-Z0-9_]+') THEN 'name has other characters' END,

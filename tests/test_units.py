@@ -55,6 +55,25 @@ def test_insert_and_soft_delete(spark):
     assert [r.doc_id for r in twice.where("doc_status = 'deleted'").orderBy("doc_id").collect()] == [2, 4]
 
 
+def test_downsample(spark):
+    """Points of series of several sizes, one of them null, against the walk over each whole series."""
+    r = np.random.default_rng(4)
+    sizes = {"a": 5000, "b": 51, "c": 50, "d": 2, None: 700, "one x": 300}
+    rows = [(s, None if s == "one x" else float(i), float(v)) for s, k in sizes.items() for i, v in zip(r.permutation(k), r.normal(size=k))]
+    rows = [(s, 7.0 if x is None else x, y) for s, x, y in rows]
+    bad = [("a", None, 1.0), ("a", 1.0, None), ("b", float("nan"), 1.0), ("null alone", None, None)]
+    d = spark.createDataFrame(rows + bad, "s string, t double, v double").repartition(4)
+    got = {}
+    for g in charts.downsample(d, "s", "t", "v", 50, cell_rows=100).collect():
+        got.setdefault(g.s, []).append((g.t, g.v))
+    assert set(got) == set(sizes)
+    for s in sizes:
+        p = np.array(sorted((x, y) for k, x, y in rows if k == s))
+        assert sorted(got[s]) == [tuple(q) for q in p[charts.largest_triangles(p[:, 0], p[:, 1], 50)]], s
+    twice = spark.createDataFrame([("x", 1.0, 2.0)] * 2, "s string, t double, v double")
+    assert charts.downsample(twice, "s", "t", "v", 5).count() == 2 and charts.downsample(twice.limit(0), "s", "t", "v", 5).count() == 0
+
+
 def test_largest_triangles():
     x = np.arange(1000.0)
     y = np.sin(x / 50)
