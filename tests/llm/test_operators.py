@@ -373,14 +373,3 @@ def test_lm_score_random_target(spark):
     ranks = got.score.rank()
     auc = (ranks[inside].sum() - inside.sum() * (inside.sum() + 1) / 2) / (inside.sum() * (~inside).sum())
     assert 0.45 < auc < 0.55, auc
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, d, "/root/testdata/sf0.001")
-        assert out.columns == list(corpus_pipeline.COLUMNS), name
-        assert 0 < out.count() <= d.count()
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
