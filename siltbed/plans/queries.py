@@ -406,12 +406,12 @@ def selection_toggle(spark, sf_dir):
 
 # ---------------------------------------------------------------- rules and ingest
 
-_PROMPTS = "p AS (SELECT doc_id, source AS prompt_name, CASE WHEN doc_id % 4 = 0 THEN text ELSE lang END AS prompt_desc, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 9 < 5 THEN lang ELSE text END AS prompt_content, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ' ' ELSE lang END AS creator FROM (SELECT doc_id, text, lang, CASE WHEN doc_id % 5 = 0 THEN source || '-x' ELSE source || '_' || doc_id // 3 END AS source FROM documents))"
+_PROMPTS = "p AS (SELECT doc_id, source AS prompt_name, CASE WHEN doc_id % 4 = 0 THEN text ELSE lang END AS prompt_desc, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 9 < 5 THEN lang ELSE text END AS prompt_content, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN ' ' ELSE lang END AS creator FROM (SELECT doc_id, text, lang, CASE WHEN doc_id % 5 = 0 THEN source || '-x' ELSE source || '_' || doc_id // 300 END AS source FROM documents))"
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _table(spark, sf_dir, "documents")
-    name = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("-x"))).otherwise(F.concat("source", F.lit("_"), F.floor(F.col("doc_id") / 3).cast("string")))
+    name = F.when(F.col("doc_id") % 5 == 0, F.concat("source", F.lit("-x"))).otherwise(F.concat("source", F.lit("_"), F.floor(F.col("doc_id") / 300).cast("string")))
     creator = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 11 == 0, " ").otherwise(F.col("lang"))
     content = F.when(F.col("doc_id") % 9 == 0, "").when(F.col("doc_id") % 9 < 5, F.col("lang")).otherwise(F.col("text"))
     return d.select("doc_id", name.alias("prompt_name"), F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.col("lang")).alias("prompt_desc"), content.alias("prompt_content"), creator.alias("creator"))
