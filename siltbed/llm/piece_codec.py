@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate
 
 import public_tokenizers
 import pyarrow as pa
@@ -26,37 +26,48 @@ from siltbed.llm.common import table
 MODEL = "piece_bpe_32k.model"
 #: The character that stands for a blank in pieces.
 MARK = "▁"
-#: A worker's table has at most so many chunks, of at most so many characters; a full one starts anew, which changes no result.
-CACHED, SHORT = 500_000, 40
+#: A worker's table has at most so many chunks, or those of one part of a batch; a full one starts anew, and chunks of
+#: more characters are not kept, which changes no result.
+CACHED, SHORT = 400_000, 40
 #: About so many bytes are encoded, or ids decoded, before rows are handed on.
-BYTES, IDS = 8_000_000, 4_000_000
+BYTES, IDS = 3_000_000, 2_000_000
 
 _chunks = re.compile(" +[^ ]*").findall
 
 
-class Chunks(dict):
-    """Maps a chunk, blanks and what follows them, to its ids."""
+class Chunks:
+    """A table of chunks, blanks and what follows them, with their ids as four bytes each."""
 
     def __init__(self, model: bytes) -> None:
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = (self.library.id_to_piece(i) for i in range(self.library.get_piece_size()))
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece crosses a whitespace marker")
-        self.mark, self.end = self.library.piece_to_id(MARK), self.library.eos_id()
-
-    def __missing__(self, chunk: str) -> list[int]:
+        self.mark, self.end = (array("i", [i]).tobytes() for i in (self.library.piece_to_id(MARK), self.library.eos_id()))
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, found: set[str]) -> set[str]:
+        """Adds the ids of the chunks that are new, and tells which those are."""
+        new = found.difference(self.known)
+        if len(self.known) + len(new) > CACHED:
+            self.known.clear()
+            new = found
         # the library puts a blank before what it is given; it takes an empty text for no text
-        ids = self.library.encode(chunk[1:], num_threads=1) if len(chunk) > 1 else [self.mark]
-        if len(chunk) <= SHORT:
-            if len(self) >= CACHED:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def ids(self, text: str | None) -> list[int]:
-        """The ids of a text and the end id."""
-        found = _chunks(" " + text.replace(MARK, " ")) if text else ()
-        return [*chain.from_iterable(map(self.__getitem__, found)), self.end]
+        plain = [c for c in new if c != " "]
+        ids = self.library.encode([c[1:] for c in plain], num_threads=1)
+        self.known.update(zip(plain, (array("i", x).tobytes() for x in ids), strict=True))
+        self.known[" "] = self.mark
+        return new
+
+    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text and the end id."""
+        found = [_chunks(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        new = self._learn(set().union(*found))
+        of = self.known.__getitem__
+        yield from (b"".join(map(of, chunks)) + self.end for chunks in found)
+        for c in new:
+            if len(c) > SHORT:
+                self.known.pop(c, None)
 
 
 _built: dict[bytes, Chunks] = {}
@@ -102,11 +113,10 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         for batch in batches:
             texts = batch.column(1)
             for a, b in _parts(compute.binary_length(texts).fill_null(0).to_pylist(), BYTES):
-                flat, ends = array("i"), array("i", [0])
-                for t in texts[a:b].to_pylist():
-                    flat.extend(known.ids(t))
-                    ends.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), pa.array(memoryview(flat), pa.int32()))
+                found = list(known.ids(texts[a:b].to_pylist()))
+                ends = array("i", accumulate((len(x) // 4 for x in found), initial=0))
+                flat = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(found))])
+                ids = pa.ListArray.from_arrays(pa.array(memoryview(ends), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], ids], ["doc_id", "ids"])
 
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, ids array<int>")

@@ -38,10 +38,11 @@ def test_edges(spark, model):
 
 def test_small_tables_change_nothing(model, monkeypatch):
     texts = [*ODD, *prose(20, 2)]
-    want = [piece_codec.Chunks(model).ids(t) for t in texts]
+    want = list(piece_codec.Chunks(model).ids(texts))
     monkeypatch.setattr(piece_codec, "CACHED", 3)
     known = piece_codec.Chunks(model)
-    assert [known.ids(t) for t in texts] == want and len(known) <= 3
+    assert [ids for t in texts for ids in known.ids([t])] == want
+    assert list(known.ids(texts)) == want and all(len(c) <= piece_codec.SHORT for c in known.known)
 
 
 def test_pieces_across_markers_are_refused(monkeypatch, model):
