@@ -18,6 +18,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,7 +71,8 @@ def _postings(docs: DataFrame, known: list[tuple[str, int]] | None) -> DataFrame
                 tf.extend([0, *seen.values()])
                 n.extend([len(words)] * (len(seen) + 1))
             once = pa.array(rows, pa.int64())
-            columns = [batch.column("row").take(pa.array(at)), batch.column("doc_id").take(once), batch.column("h").take(once), pa.array(found, kind), pa.array(tf), pa.array(n)]
+            at, tf, n = (pa.array(np.asarray(x)) for x in (at, tf, n))
+            columns = [batch.column("row").take(at), batch.column("doc_id").take(once), batch.column("h").take(once), pa.array(found, kind), tf, n]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", of, "tf", "n"])
 
     d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text")
