@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.operators.ranks import between_percents
+
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
@@ -38,9 +40,8 @@ def stacked(df: DataFrame, x: str, by: str, value: str) -> DataFrame:
 
 
 def zoom(df: DataFrame, by: str, order: str, low: float, high: float) -> DataFrame:
-    """Rows of each series between two percentages of its length."""
-    rank = F.percent_rank().over(Window.partitionBy(by).orderBy(order))
-    return df.withColumn("_rank", rank).where((F.col("_rank") >= low / 100) & (F.col("_rank") <= high / 100)).drop("_rank")
+    """Rows of each series between two percentages of its length; a long series is spread over many tasks."""
+    return between_percents(df, by, order, low, high)
 
 
 def largest_triangles(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,23 @@ def facets(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(pairs.alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
+def cross_facets(df: DataFrame, filters: Mapping[str, Column | None], also: Sequence[Column] = ()) -> DataFrame:
+    """facet, value, n: the value counts of each column in filters among rows that meet all filters but its own.
+
+    A filter is a predicate, or None for a column that is counted but not filtered; rows must meet also's predicates
+    for every facet. A null predicate counts as not met. One pass: a row has a bit for each filter that it fails; with
+    none set it counts for all facets, with one for that facet, else for none, and only then are its values unpivoted.
+    Values without a row are left out; a null value is one of its own.
+    """
+    if len(filters) > 62:
+        raise ValueError("62 facets at most")
+    fails = [F.when(F.coalesce(p, F.lit(False)), 0).otherwise(1 << i) if p is not None else F.lit(0) for i, p in enumerate(filters.values())]
+    rows = reduce(lambda d, p: d.where(p), also, df).withColumn("_failed", reduce(lambda a, b: a.bitwiseOR(b), [f.cast("long") for f in fails], F.lit(0).cast("long")))
+    of = [F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value"), F.lit(1 << i).cast("long").alias("bit")) for i, c in enumerate(filters)]
+    counted = F.filter(F.array(*of), lambda x: (F.col("_failed") == 0) | (F.col("_failed") == x["bit"]))
+    return rows.select(F.explode(counted).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+
+
 def search(df: DataFrame, text: dict[str, str] | None = None, exact: dict[str, str] | None = None, within: dict[str, str] | None = None, since: dict[str, str] | None = None) -> DataFrame:
     """Rows that meet all criteria; an empty one passes.
 

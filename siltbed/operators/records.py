@@ -53,9 +53,13 @@ def visible(df: DataFrame, hidden: Sequence[str], always: Sequence[str] = ()) ->
     return df.select(*[c for c in df.columns if c not in hidden or c in always])
 
 
+def order_of(*by: tuple[str, str]) -> list[Column]:
+    """The sort order of (column, "asc" or "desc") pairs, nulls last."""
+    return [F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_last() for c, way in by]
+
+
 def ordered(df: DataFrame, *by: tuple[str, str]) -> DataFrame:
-    """df sorted by (column, "asc" or "desc") pairs, nulls last."""
-    return df.orderBy(*[F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_last() for c, way in by])
+    return df.orderBy(*order_of(*by))
 
 
 def moved(df: DataFrame, position: str, start: int, end: int) -> DataFrame:

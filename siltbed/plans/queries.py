@@ -6,12 +6,12 @@ status history, orders for sales.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.functions import predicates, scalars
 from siltbed.functions.predicates import Condition, Group
-from siltbed.operators import charts, documents, grid, knowledge, records, snapshot
+from siltbed.operators import charts, documents, grid, knowledge, ranks, records, snapshot
 from siltbed.schemas import DOCUMENTS, PROCESS_FILE, PROCESS_STATUS, SCHEDULES, STATUS_COLUMNS
 from siltbed.session import scratch_folder
 from siltbed.sources import ingest
@@ -607,9 +607,9 @@ def visible_columns(spark, sf_dir):
 @_query("SELECT c_custkey, row_number() OVER (ORDER BY c_mktsegment DESC, c_nationkey, c_acctbal DESC, c_custkey) AS place FROM customer")
 def sort_columns(spark, sf_dir):
     by = (("c_mktsegment", "desc"), ("c_nationkey", "asc"), ("c_acctbal", "desc"), ("c_custkey", "asc"))
-    top = records.ordered(_table(spark, sf_dir, "customer"), *by).select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
-    order = Window.orderBy(F.col("c_mktsegment").desc(), "c_nationkey", F.col("c_acctbal").desc(), "c_custkey")
-    return top.select("c_custkey", F.row_number().over(order).cast("long").alias("place"))
+    columns = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    rows = ranks.Directory.build(columns, *records.order_of(*by)).numbered()
+    return rows.select("c_custkey", (F.col("number") + 1).alias("place"))
 
 
 @_query("SELECT n_name, CASE WHEN n_nationkey = 3 THEN 9 WHEN n_nationkey BETWEEN 4 AND 9 THEN n_nationkey - 1 ELSE n_nationkey END AS n_nationkey FROM nation")

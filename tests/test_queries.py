@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from siltbed.plans.queries import QUERIES, SQL
+from siltbed.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
