@@ -1,10 +1,13 @@
-"""Registered queries that look rows up: incremental snapshots, as-of alignment, facets under filters, rank directories."""
+"""Registered queries that look rows up: incremental snapshots, as-of alignment, facets, rank directories, substrings."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.operators import asof, grid, ranks
+from siltbed.operators import asof, grid, ranks, substring
 from siltbed.plans.queries import _query, _table
 from siltbed.session import scratch_folder
 from siltbed.streaming import changes
@@ -84,3 +87,19 @@ def percent_zoom(spark, sf_dir):
     """The middle half of each priority's orders by date, ties included."""
     o = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
     return ranks.between_percents(o, "o_orderpriority", "o_orderdate", 25, 75).drop("o_orderdate")
+
+
+# ---------------------------------------------------------------- substring search
+
+_PATTERNS = (("ThAnd", True), ("ciónñ", False), ("er", True), ("%", False), ("n_", False), ("is erb", True), ("on the", False), ("É", True), ("qqxz", True))
+
+
+@_query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, doc_id, lang FROM documents WHERE " + (f"contains(lower(text), '{p.lower()}')" if ci else f"contains(text, '{p}')") for p, ci in _PATTERNS))
+def search_indexed(spark, sf_dir):
+    """Documents by several patterns, on an index of two segments."""
+    index, d = substring.Index(spark, scratch_folder(spark)), _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    first = F.xxhash64("doc_id") > 0
+    index.add(d.where(first), 0)
+    index.add(d.where(~first), 1)
+    found = [index.search(p, ci).select(F.lit(p).alias("pattern"), "doc_id", "lang") for p, ci in _PATTERNS]
+    return reduce(DataFrame.unionByName, found)

@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from siltbed.operators import asof, grid, ranks
+from siltbed.operators import asof, grid, ranks, substring
 from siltbed.streaming import changes
 
 DAY = datetime(2024, 1, 1)
@@ -184,3 +184,38 @@ def test_percents(spark):
         got = ranks.between_percents(df, "s", "v", low, high)
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want(low, high))), (low, high)
     assert ranks.between_percents(df.limit(0), "s", "v", 0, 50).count() == 0
+
+
+# ---------------------------------------------------------------- substrings
+
+
+def test_substrings(spark, tmp_path):
+    r = random.Random(6)
+    words = ["Thand", "THE", "ñandú", "ciónñ", "100%_", "a_b", "ΟΔΟΣ", "İz", "ß", "x", "𝄞🙂", "the", "\0"]
+    texts = [None, "", "a", "ab", "abc", *[" ".join(r.choices(words[:9] if i % 7 else words, k=r.randrange(1, 25))) for i in range(900)], "the zyxwv 100%_"]
+    rows = [(i, t, "kept") for i, t in enumerate(texts)] + [(5, texts[5], "kept")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, part string").repartition(3)
+    index = substring.Index(spark, str(tmp_path / "index"))
+    index.add(d.where("doc_id < 500"), 0)
+    index.add(d.where("doc_id >= 500"), 1)
+    index.add(d.where("doc_id >= 500"), 1)  # again, as a retried job would
+    read = {}
+    for p in ["", "a", "ab", "abc", "%", "_", "%_", "a_b", "thand", "Thand", "THE Thand ñandú", "ñ", "É", "Σ", "ΔΟΣ", "ΟΔΟΣ İz", "İ", "ς", "i̇z", "🙂", "𝄞🙂", "absent words", "zz", "\0", "THAND THE", "e zyx", texts[700]]:
+        for ci in (False, True):
+            has = F.contains(F.lower("text"), F.lower(F.lit(p))) if ci else F.contains("text", F.lit(p))
+            got, want = (sorted(map(repr, map(tuple, x.select("doc_id", "text", "part").collect()))) for x in (index.search(p, ci), d.where(has)))
+            assert got == want, (p, ci)
+            read[p, ci] = index.candidates(p, ci).count()
+    assert read["absent words", True] == 0 and read["zz", True] == 0
+    assert read["e zyx", False] == read["e zyx", True] <= 1 << substring.ROWS and read["", False] == len(rows)
+    assert read["𝄞🙂", False] < len(rows)
+    index.add(d.limit(0), 2)
+    assert index.search("thand", True).count() == d.where("contains(lower(text), 'thand')").count()
+
+
+def test_many_blocks_are_joined(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(substring, "NAMED", 2)
+    d = spark.range(3000).select("id", F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"))
+    index = substring.Index(spark, str(tmp_path / "index"))
+    index.add(d, 0)
+    assert index.search("row", False).count() == 3000 and index.search("99", True).count() == d.where("text LIKE '%99%'").count()
