@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.functions.scalars import at_least_one, errors, file_extension, is_name, one_of, present
+from siltbed.sources.names import NameStore
 
 KINDS = ("json", "csv", "txt")
 MOST_BYTES = 10 * 1024 * 1024
@@ -67,16 +68,23 @@ def contact_rules(email: Column, phone: Column) -> dict[str, Column]:
     return {"email and cell phone cannot both be missing": at_least_one(email, phone)}
 
 
-def check(rows: DataFrame, rules: dict[str, Column], key: str, order: str, existing: DataFrame | None = None) -> DataFrame:
-    """rows with errors and outcome: 'error', 'duplicate' (an earlier valid row, or existing, has the key) or 'created'."""
-    out = rows.withColumn("errors", errors(rules)).withColumn("_bad", (F.col("errors") != "").cast("int"))
-    out = out.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_bad").orderBy(order)))
-    if existing is None:
-        out = out.withColumn("_known", F.lit(False))
-    else:
-        out = out.join(existing.select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
-    twice = (F.col("_n") > 1) | F.coalesce("_known", F.lit(False))
-    return out.withColumn("outcome", F.when(F.col("_bad") == 1, "error").when(twice, "duplicate").otherwise("created")).drop("_bad", "_n", "_known")
+def check(rows: DataFrame, rules: dict[str, Column], key: str, order: str, existing: DataFrame | NameStore | None = None) -> DataFrame:
+    """rows with errors and outcome: 'error', 'duplicate' (an earlier valid row, or existing, has the key) or 'created'.
+
+    order tells rows apart, as a row's number in a file does. The first valid row of a key comes from an aggregation,
+    and rows are matched with it by key and order, so a key with a third of all rows makes no large group. existing
+    is a table with the key or a store of names; a null key is in neither, and is a key of its own among the rows.
+    """
+    out = rows.withColumn("errors", errors(rules))
+    first = out.where("errors = ''").groupBy(key).agg(F.min(order).alias(order))
+    if existing is not None:
+        names = first.select(F.col(key).alias("name")).where("name IS NOT NULL")
+        known = existing.existing(names) if isinstance(existing, NameStore) else existing.select(F.col(key).alias("name")).distinct()
+        first = first.join(known.withColumnRenamed("name", "_name"), F.col(key) == F.col("_name"), "left_anti")
+    first = first.select(F.struct(key, order).alias("_at"), F.lit(True).alias("_first"))  # fields match null to null
+    out = out.withColumn("_at", F.struct(key, order)).join(first, "_at", "left").drop("_at")
+    outcome = F.when(F.col("errors") != "", "error").when(F.col("_first"), "created").otherwise("duplicate")
+    return out.withColumn("outcome", outcome).drop("_first")
 
 
 def counters(checked: DataFrame) -> DataFrame:
