@@ -73,3 +73,10 @@ def toggle(selection: Column, value: Column) -> Column:
 
 def by_position(values: Sequence[str], at: Column, default: str) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(v) for v in values]), at), F.lit(default))
+
+
+def day_slots(day: Column) -> Column:
+    """The half-hours of a day that can be booked: from 8:30 to 11:00 and from 13:00 to 16:30."""
+    at = lambda hour: F.to_timestamp_ntz(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(f" {hour}:00")))
+    span = lambda a, b: F.sequence(at(a), at(b), F.expr("interval 30 minutes"))
+    return F.concat(span("08:30", "11:00"), span("13:00", "16:30"))

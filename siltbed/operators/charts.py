@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltbed.operators.ranks import between_percents
+from siltbed.operators.ranks import between_percents, running_sum
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -140,16 +140,14 @@ def downsample(df: DataFrame, by: str, x: str, y: str, n: int, cell_rows: int =
     return read.groupBy("by").applyInPandas(_triangles(n), read.select("by", "x", "y").schema).select(F.col("by").alias(by), F.col("x").alias(x), F.col("y").alias(y))
 
 
-def random_walk(spark, n: int, seed: int, block: int = 1000) -> DataFrame:
-    """i, day, v: v[i] is v[i-1] plus noise in [-10, 10), rounded; starts at a random value below 300.
+def random_walk(rows: DataFrame, number: str, seed: int, *order: str) -> DataFrame:
+    """rows with day and v: v is the v before plus noise in [-10, 10), rounded; the first is a random value below 300.
 
-    Noise follows from the seed and i by a digest, so it does not depend on partitions. Sums are taken within blocks of
-    steps, and over the blocks' sums, so no task gets all steps.
+    A row's noise follows from the seed and its number by a digest, so it does not depend on partitions. number counts
+    from 0 and order is total; a day passes with each number.
     """
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
-    step = F.when(F.col("id") == 0, F.floor(u * 300)).otherwise(F.floor((u - 0.5) * 20 + 0.5))
-    steps = spark.range(n).select(F.col("id").alias("i"), F.floor(F.col("id") / block).alias("block"), step.alias("step"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = steps.groupBy("block").agg(F.sum("step").alias("step")).select("block", F.coalesce(F.sum("step").over(before), F.lit(0)).alias("start"))
-    v = F.col("start") + F.sum("step").over(Window.partitionBy("block").orderBy("i"))
-    return steps.join(blocks, "block").select("i", F.date_add(F.lit("1968-10-04").cast("date"), F.col("i").cast("int")).alias("day"), v.alias("v"))
+    i = F.col(number)
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 2**32
+    step = F.when(i == 0, F.floor(u * 300)).otherwise(F.floor((u - 0.5) * 20 + 0.5))
+    walked = running_sum(rows.withColumn("_step", step), "_step", *order)
+    return walked.withColumn("day", F.date_add(F.lit("1968-10-04").cast("date"), i.cast("int"))).withColumnRenamed("total", "v").drop("_step")

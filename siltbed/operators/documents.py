@@ -46,12 +46,12 @@ STATUSES = ("active", "active", "active", "deleted", "suspended")
 PROCESS = ("uploaded", "acked", "parsed", "processed")
 
 
-def generate(spark: SparkSession, n: int) -> DataFrame:
-    """n catalogue rows; each but its user_id follows from its number."""
+def generate(numbers: DataFrame) -> DataFrame:
+    """A catalogue row for each number (id, from 0), as of spark.range(n); each but its user_id follows from its number."""
     i = F.col("id")
     cycle = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
     url = lambda kind, ext: F.format_string(f"https://storage.example.com/{kind}/%d.{ext}", i + 1)
-    return spark.range(n).select(
+    return numbers.select(
         (i + 1).alias("doc_id"),
         F.uuid().alias("user_id"),
         F.when(i < len(NAMES), cycle(NAMES)).otherwise(F.concat(cycle(NAMES), F.lit(" v"), (F.floor(i / len(NAMES)) + 1).cast("string"))).alias("doc_name"),

@@ -8,9 +8,9 @@ a window over the whole table.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.session import scratch_folder
@@ -70,6 +70,21 @@ class Directory:
         return self.numbered(rows).where(F.col("number").between(first, first + size - 1)).orderBy("number")
 
 
+def running_sum(df: DataFrame, value: str, *order: Column | str) -> DataFrame:
+    """df with `total`, the sum of a column of whole numbers up to each row in a total order; nulls add nothing.
+
+    Sums are taken within ranges and over the ranges' sums, a row per range, which come to the driver.
+    """
+    index = Directory.build(df, *order)
+    rows = index.rows()
+    sums = dict(rows.groupBy("range").agg(F.coalesce(F.sum(value), F.lit(0))).collect())
+    before = list(enumerate(accumulate((sums.get(i, 0) for i in range(len(index.starts) - 1)), initial=0)))
+    starts = df.sparkSession.createDataFrame(before, "range int, before long")
+    within = F.sum(value).over(Window.partitionBy("range").orderBy("place"))
+    rows = rows.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(starts), "range")
+    return rows.select(*df.columns, (F.col("before") + F.col("within")).alias("total"))
+
+
 def _last(most: float, n: Column) -> Column:
     """The greatest place p (from 0) among n with p / (n - 1) <= most, in doubles as percent_rank() has it; -1 if none."""
     about = F.floor(most * (n - 1)).cast("long")

@@ -80,12 +80,28 @@ def widget(kind: DataType, choices: Sequence[str] = ()) -> str:
     return {"boolean": "checkbox", "date": "date", "timestamp": "date", "timestamp_ntz": "date"}.get(kind.typeName(), "text")
 
 
-def form_fields(df: DataFrame, choices: Mapping[str, Sequence[str]]) -> DataFrame:
-    """name, widget, required and choices of a form field for every column of df."""
-    rows = [(f.name, widget(f.dataType, choices.get(f.name, ())), not f.nullable, list(choices.get(f.name, ()))) for f in df.schema]
+def form_fields(df: DataFrame, most: int = 8) -> DataFrame:
+    """name, widget, required and choices of a form field for every column of df, as its rows show them.
+
+    A column of strings with at most `most` values is a closed list of them; one without a null is required. Two
+    passes: sketches first, then the values of the columns that have few.
+    """
+    counts = [F.count(c).alias(f"n{i}") for i, c in enumerate(df.columns)]
+    texts = [i for i, f in enumerate(df.schema) if isinstance(f.dataType, StringType)]
+    seen = df.agg(F.count("*").alias("n"), *counts, *[F.approx_count_distinct(df.columns[i], 0.05).alias(f"d{i}") for i in texts]).first()
+    few = [i for i in texts if seen[f"d{i}"] <= 2 * most]
+    values = df.agg(F.lit(0), *[F.sort_array(F.collect_set(df.columns[i])).alias(f"v{i}") for i in few]).first()
+    choices = {i: values[f"v{i}"] for i in few if 0 < len(values[f"v{i}"]) <= most}
+    rows = [(f.name, widget(f.dataType, choices.get(i, ())), seen[f"n{i}"] == seen["n"], choices.get(i, [])) for i, f in enumerate(df.schema)]
     return df.sparkSession.createDataFrame(rows, "name string, widget string, required boolean, choices array<string>")
 
 
+def template(df: DataFrame, order: str) -> DataFrame:
+    """A JSON template for records like df's: its first row by order, pretty-printed, nulls included; one row, row."""
+    first = df.agg(F.min_by(F.struct(*df.columns), order).alias("x"))
+    return first.select(F.to_json("x", {"ignoreNullFields": "false", "pretty": "true"}).alias("row"))
+
+
 def shifted(at: Column, origin: float, scale: float = 1.0) -> Column:
     """An affine transform of a coordinate."""
     return (at - origin) * scale

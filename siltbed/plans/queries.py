@@ -303,9 +303,17 @@ def chart_downsampled(spark, sf_dir):
     return charts.downsample(e, "event_type", "t", "value", 200)
 
 
-@_query("WITH s AS (SELECT i, ('0x' || left(md5('42:' || i), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM range(20000) t(i)) SELECT i, DATE '1968-10-04' + i::INT AS day, (sum(CASE WHEN i = 0 THEN floor(u * 300) ELSE floor((u - 0.5) * 20 + 0.5) END) OVER (ORDER BY i))::BIGINT AS v FROM s")
+@_query("WITH s AS (SELECT event_id, ts, ('0x' || left(md5('42:' || event_id), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM events) SELECT event_id, DATE '1968-10-04' + event_id::INT AS day, (sum(CASE WHEN event_id = 0 THEN floor(u * 300) ELSE floor((u - 0.5) * 20 + 0.5) END) OVER (ORDER BY ts, event_id))::BIGINT AS v FROM s")
 def random_walk(spark, sf_dir):
-    return charts.random_walk(spark, 20_000, 42)
+    """A step for each event, in their order."""
+    return charts.random_walk(_table(spark, sf_dir, "events").select("event_id", "ts"), "event_id", 42, "ts", "event_id").select("event_id", "day", "v")
+
+
+@_query("SELECT event_id, user_id, (sum(CASE WHEN event_type = 'purchase' THEN round(value * 100) ELSE 0 END) OVER (ORDER BY ts, event_id))::BIGINT AS total FROM events")
+def running_total(spark, sf_dir):
+    """Purchases so far, in cents, at each event."""
+    cents = F.when(F.col("event_type") == "purchase", F.round(F.col("value") * 100)).otherwise(0).cast("long").alias("cents")
+    return ranks.running_sum(_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", cents), "cents", "ts", "event_id").select("event_id", "user_id", "total")
 
 
 # ---------------------------------------------------------------- catalogue
@@ -319,49 +327,57 @@ def _pick(values) -> str:
     return f"{_list(values)}[(i % {len(values)} + 1)::INT]"
 
 
-_N = 500
 _GENERATED = f"""g AS (SELECT i + 1 AS doc_id, {_pick(documents.NAMES)} || CASE WHEN i < 24 THEN '' ELSE ' v' || (i // 24 + 1) END AS doc_name,
 (10000 + i * 137 % 90000) || '_' || (2020 + i % 5) || ':' || (1 + i % 5) AS doc_no, {_pick(documents.DESCRIPTIONS)} AS doc_desc,
 'This document contains ' || {_pick(documents.NAMES)} || ' with detailed information and guidelines.' AS doc_summary, {_pick(documents.KEYWORDS)} AS doc_keywords,
 {_pick(documents.TAGS)} AS doc_tags, 'https://storage.example.com/documents/' || (i + 1) || '.pdf' AS file_url, 'https://storage.example.com/thumbnails/' || (i + 1) || '.png' AS image_url,
 {_pick(documents.TYPES)} AS doc_type, {_pick(documents.SOURCES)} AS doc_source, {_pick(documents.SCOPES)} AS doc_scope, {_pick(documents.STATUSES)} AS doc_status,
-{_pick(documents.PROCESS)} AS process_status, NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at FROM range({_N}) t(i))"""
+{_pick(documents.PROCESS)} AS process_status, NULL::TIMESTAMP AS created_at, NULL::TIMESTAMP AS updated_at FROM (SELECT doc_id AS i FROM documents))"""
+
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue row for each document."""
+    return documents.generate(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
 
-@_query(f"WITH {_GENERATED} SELECT * FROM g")
+
+@_query(f"WITH {_GENERATED} SELECT *, true AS user_id_ok FROM g")
 def doc_generate(spark, sf_dir):
-    return documents.generate(spark, _N).drop("user_id")
+    form = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return catalogue(spark, sf_dir).withColumn("user_id_ok", F.col("user_id").rlike(form)).drop("user_id")
 
 
 @_query(f"WITH {_GENERATED} SELECT doc_id, doc_name, doc_type FROM g WHERE doc_type IN ('DOCX', 'PPTX') AND doc_name LIKE '%Guide%' AND doc_status <> 'deleted'")
 def doc_query_in_like(spark, sf_dir):
     conditions = [_C("doc_type", "IN", ["DOCX", "PPTX"]), _C("doc_name", "LIKE", "%Guide%"), _C("doc_status", "!=", "deleted")]
-    return documents.query(documents.generate(spark, _N), conditions).select("doc_id", "doc_name", "doc_type")
+    return documents.query(catalogue(spark, sf_dir), conditions).select("doc_id", "doc_name", "doc_type")
 
 
-@_query(f"WITH {_GENERATED} SELECT doc_id, doc_name FROM g WHERE doc_id > 40 ORDER BY doc_id LIMIT 25")
+@_query(f"WITH {_GENERATED} SELECT * FROM (SELECT 25 AS most, doc_id, doc_name FROM g WHERE doc_id > 40 ORDER BY doc_id LIMIT 25) UNION ALL SELECT most, doc_id, doc_name FROM g, (VALUES (0), (-1)) v(most) WHERE doc_id > 40")
 def doc_query_limit(spark, sf_dir):
-    return documents.query(documents.generate(spark, _N), [_C("doc_id", ">", "40")], 25).select("doc_id", "doc_name")
+    """With a limit, and with two that mean none."""
+    some = [documents.query(catalogue(spark, sf_dir), [_C("doc_id", ">", "40")], n).select(F.lit(n).alias("most"), "doc_id", "doc_name") for n in (25, 0, -1)]
+    return some[0].unionByName(some[1]).unionByName(some[2])
 
 
-@_query(f"WITH {_GENERATED} SELECT doc_id, doc_name, doc_status, created_at IS NULL AS undated FROM (SELECT doc_id, doc_name, doc_status, created_at FROM g UNION ALL SELECT 501, 'New', 'active', TIMESTAMP '2024-01-01')")
+@_query(f"WITH {_GENERATED} SELECT doc_id, doc_name, doc_status, created_at IS NULL AS undated FROM (SELECT doc_id, doc_name, doc_status, created_at FROM g UNION ALL SELECT -1, 'New', 'active', TIMESTAMP '2024-01-01')")
 def doc_insert(spark, sf_dir):
-    row = spark.createDataFrame([(501, "New", "active", "x", "PDF", "public", "uploaded")], "doc_id long, doc_name string, doc_status string, file_url string, doc_type string, doc_scope string, process_status string")
-    out = documents.insert(documents.generate(spark, _N), row)
+    row = spark.createDataFrame([(-1, "New", "active", "x", "PDF", "public", "uploaded")], "doc_id long, doc_name string, doc_status string, file_url string, doc_type string, doc_scope string, process_status string")
+    out = documents.insert(catalogue(spark, sf_dir), row)
     return out.select("doc_id", "doc_name", "doc_status", F.col("created_at").isNull().alias("undated"))
 
 
 @_query(f"WITH {_GENERATED} SELECT doc_id, CASE WHEN doc_id = 7 THEN 'deleted' ELSE doc_status END AS doc_status, doc_id = 7 AS stamped FROM g")
 def doc_soft_delete(spark, sf_dir):
-    out = documents.soft_delete(documents.generate(spark, _N), 7)
+    out = documents.soft_delete(catalogue(spark, sf_dir), 7)
     return out.select("doc_id", "doc_status", F.col("updated_at").isNotNull().alias("stamped"))
 
 
-@_query("SELECT i + 1 AS id, 'User ' || (i + 1) AS name, 'user' || (i + 1) || '@example.com' AS email, ['us', 'ca', 'uk', 'de', 'fr'][(i % 5 + 1)::INT] AS country, i % 3 <> 0 AS active FROM range(100) t(i)")
+@_query("SELECT i + 1 AS id, 'User ' || (i + 1) AS name, 'user' || (i + 1) || '@example.com' AS email, ['us', 'ca', 'uk', 'de', 'fr'][(i % 5 + 1)::INT] AS country, i % 3 <> 0 AS active FROM (SELECT c_custkey AS i FROM customer)")
 def users_generate(spark, sf_dir):
-    i, n = F.col("id"), (F.col("id") + 1).cast("string")
+    """A user for each customer."""
+    i, n = F.col("c_custkey"), (F.col("c_custkey") + 1).cast("string")
     country = F.element_at(F.array(*[F.lit(c) for c in ("us", "ca", "uk", "de", "fr")]), (i % 5 + 1).cast("int"))
-    return spark.range(100).select((i + 1).alias("id"), F.concat(F.lit("User "), n).alias("name"), F.concat(F.lit("user"), n, F.lit("@example.com")).alias("email"), country.alias("country"), (i % 3 != 0).alias("active"))
+    return _table(spark, sf_dir, "customer").select((i + 1).alias("id"), F.concat(F.lit("User "), n).alias("name"), F.concat(F.lit("user"), n, F.lit("@example.com")).alias("email"), country.alias("country"), (i % 3 != 0).alias("active"))
 
 
 # ---------------------------------------------------------------- cube
@@ -395,7 +411,7 @@ def find_by_key(spark, sf_dir):
 @_query(f"WITH {_GENERATED} SELECT doc_id, list_filter(list_transform(string_split(doc_tags || ', ,', ','), lambda x: trim(x)), lambda x: x <> '') AS tags, replace(doc_tags, ', ', ',') AS joined FROM g")
 def tags_split(spark, sf_dir):
     tags = scalars.split_list(F.concat("doc_tags", F.lit(", ,")))
-    return documents.generate(spark, _N).select("doc_id", tags.alias("tags"), F.array_join(tags, ",").alias("joined"))
+    return catalogue(spark, sf_dir).select("doc_id", tags.alias("tags"), F.array_join(tags, ",").alias("joined"))
 
 
 @_query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['de', 'fr'] ELSE ['de', 'fr', 'en'] END AS chosen FROM documents")
@@ -451,11 +467,12 @@ def password_rules(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("user_id", (F.length("event_type") >= 8).alias("long_enough"), F.col("event_type").eqNullSafe("purchase").alias("same"))
 
 
-@_query("SELECT strftime(t, '%H:%M') AS slot, ltrim(strftime(t, '%I:%M'), '0') || lower(strftime(t, ' %p')) AS label FROM (SELECT unnest(range(TIMESTAMP '2024-01-01 08:30:00', TIMESTAMP '2024-01-01 11:30:00', INTERVAL 30 MINUTE)) AS t UNION ALL SELECT unnest(range(TIMESTAMP '2024-01-01 13:00:00', TIMESTAMP '2024-01-01 17:00:00', INTERVAL 30 MINUTE)))")
+@_query("SELECT day, strftime(t, '%H:%M') AS slot, ltrim(strftime(t, '%I:%M'), '0') || lower(strftime(t, ' %p')) AS label FROM (SELECT DISTINCT ts::DATE AS day FROM events), (SELECT unnest(range(TIMESTAMP '2024-01-01 08:30:00', TIMESTAMP '2024-01-01 11:30:00', INTERVAL 30 MINUTE)) AS t UNION ALL SELECT unnest(range(TIMESTAMP '2024-01-01 13:00:00', TIMESTAMP '2024-01-01 17:00:00', INTERVAL 30 MINUTE)))")
 def slots(spark, sf_dir):
-    span = lambda a, b: f"sequence(timestamp_ntz'2024-01-01 {a}:00', timestamp_ntz'2024-01-01 {b}:00', interval 30 minutes)"
-    t = spark.range(1).select(F.expr(f"explode(concat({span('08:30', '11:00')}, {span('13:00', '16:30')}))").alias("t"))
-    return t.select(F.date_format("t", "HH:mm").alias("slot"), F.lower(F.date_format("t", "h:mm a")).alias("label"))
+    """The slots of each day that has an event."""
+    days = _table(spark, sf_dir, "events").select(F.to_date("ts").alias("day")).distinct()
+    t = days.select("day", F.explode(scalars.day_slots(F.col("day"))).alias("t"))
+    return t.select("day", F.date_format("t", "HH:mm").alias("slot"), F.lower(F.date_format("t", "h:mm a")).alias("label"))
 
 
 @_query("WITH m AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS m FROM orders), d AS (SELECT m, unnest(range(m - (isodow(m) % 7)::INT, m - (isodow(m) % 7)::INT + 42, INTERVAL 1 DAY))::DATE AS day FROM m) SELECT m AS month, day, date_trunc('month', day)::DATE = m AS inside, isodow(day) IN (6, 7) AS weekend FROM d")
@@ -500,12 +517,16 @@ def append_records(spark, sf_dir):
 # ---------------------------------------------------------------- stores, requests and files
 
 
-@_query("SELECT t AS table_name, c AS columns, 0::BIGINT AS row_count FROM (VALUES ('documents', 17), ('process_status', 6), ('schedules', 14)) v(t, c)")
+@_query("SELECT 'documents' AS table_name, 17 AS columns, count(*) AS row_count FROM documents UNION ALL SELECT 'process_status', 6, count(DISTINCT o_orderstatus) FROM orders UNION ALL SELECT 'schedules', 14, count(*) FROM orders")
 def create_tables(spark, sf_dir):
-    """Makes each table twice; the second time changes nothing."""
-    at, out = scratch_folder(spark), None
-    for name, schema in (("documents", DOCUMENTS), ("process_status", PROCESS_STATUS), ("schedules", SCHEDULES)):
+    """Makes each table, fills it from a table of the driver, and makes it again, which changes nothing."""
+    at, out, orders = scratch_folder(spark), None, _table(spark, sf_dir, "orders")
+    counted = snapshot.status_counts(orders, ["o_orderstatus"], "daily").withColumn("id", F.monotonically_increasing_id())
+    planned = orders.select(F.col("o_orderpriority").alias("event_name"), F.col("o_orderdate").cast("date").alias("schedule_date"), F.lit("a").alias("creator"), F.lit("a").alias("updater"))
+    for name, schema, rows in (("documents", DOCUMENTS, catalogue(spark, sf_dir)), ("process_status", PROCESS_STATUS, counted), ("schedules", SCHEDULES, planned)):
         documents.create_if_absent(spark, f"{at}/{name}", schema)
+        kinds = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        rows.select(*kinds).write.mode("append").parquet(f"{at}/{name}")
         documents.create_if_absent(spark, f"{at}/{name}", DOCUMENTS)
         made = spark.read.parquet(f"{at}/{name}")
         row = made.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), F.lit(len(made.columns)).alias("columns"), "row_count")
@@ -536,18 +557,12 @@ def json_rows(spark, sf_dir):
     return records.json_rows(d.select("doc_id", "lang", "quality"))
 
 
-_TEMPLATE = (
-    ("creative_writing", "Creative writing assistant", "Active", "Writing", "User Entered", "writing,creative", "user1"),
-    ("code_reviewer", "Code review assistant", "Active", "Programming", "User Entered", "programming,code", "user2"),
-)
-_TEMPLATE_FIELDS = "PromptName PromptDesc Status PromptPurpose PromptSource PromptTags Creator".split()
-
-
-@_query("SELECT * FROM (VALUES " + ", ".join(str(r) for r in _TEMPLATE) + ") v(" + ", ".join(_TEMPLATE_FIELDS) + ")")
+@_query(f"WITH {_GENERATED} SELECT doc_id, doc_name, doc_tags, doc_type FROM g ORDER BY doc_id LIMIT 1")
 def json_template(spark, sf_dir):
-    at = scratch_folder(spark)
-    spark.createDataFrame(_TEMPLATE, _TEMPLATE_FIELDS).coalesce(1).write.json(at)
-    return spark.read.json(at).select(*_TEMPLATE_FIELDS)
+    """The template of a catalogue record, written as a JSON file and read back."""
+    at = scratch_folder(spark) + ".json"
+    records.template(catalogue(spark, sf_dir).drop("user_id"), "doc_id").coalesce(1).write.text(at)
+    return ingest.read(spark, at).select("doc_id", "doc_name", "doc_tags", "doc_type")
 
 
 @_query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
@@ -630,10 +645,14 @@ def null_count_zero(spark, sf_dir):
     return d.select("lang").distinct().join(n, "lang", "left").na.fill(0, ["n"])
 
 
-@_query("SELECT name, widget, required, choices FROM (VALUES ('doc_id', 'number', false, []::VARCHAR[]), ('lang', 'select', false, ['en', 'de']), ('text', 'text', false, []), ('at', 'date', false, []), ('ok', 'checkbox', true, [])) v(name, widget, required, choices)")
+@_query("""WITH p AS (SELECT list_sort(list(DISTINCT o_orderpriority)) AS c FROM orders), s AS (SELECT list_sort(list(DISTINCT o_orderstatus)) AS c FROM orders), n AS (SELECT count(*) FILTER (WHERE o_totalprice <= 200000) = count(*) AS c FROM orders)
+SELECT 'o_orderkey' AS name, 'number' AS widget, true AS required, []::VARCHAR[] AS choices UNION ALL SELECT 'o_orderpriority', 'select', true, c FROM p UNION ALL SELECT 'o_orderstatus', 'select', true, c FROM s
+UNION ALL SELECT 'o_orderdate', 'date', true, [] UNION ALL SELECT 'label', 'text', true, [] UNION ALL SELECT 'cheap', 'number', c, [] FROM n UNION ALL SELECT 'ok', 'checkbox', true, []""")
 def form_fields(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", "lang", "text", F.lit(None).cast("date").alias("at"), F.lit(True).alias("ok"))
-    return records.form_fields(d, {"lang": ["en", "de"]})
+    """The form fields of orders, as the rows show them."""
+    o = _table(spark, sf_dir, "orders")
+    label, price = F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), F.col("o_totalprice")
+    return records.form_fields(o.select("o_orderkey", "o_orderpriority", "o_orderstatus", F.col("o_orderdate").cast("date"), label.alias("label"), F.when(price <= 200000, price).alias("cheap"), (price > 0).alias("ok")))
 
 
 @_query(f"WITH {_NODES} SELECT id, x - 1.5 AS px, (y - 1.5) * 2 AS py, z - 1.5 AS pz FROM (SELECT id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM n)")
@@ -652,10 +671,19 @@ def active_axes(spark, sf_dir):
 _CARS = (("Tesla", "Model Y", 64950, True), ("Ford", "F-Series", 33850, False), ("Toyota", "Corolla", 29600, False), ("Mercedes", "EQA", 48890, True), ("Fiat", "500", 15774, False), ("Nissan", "Juke", 20675, False))
 
 
-@_query("SELECT electric, count(*) AS n, sum(price)::BIGINT AS price, min(make) AS first_make FROM (VALUES ('Tesla', 64950, true), ('Ford', 33850, false), ('Toyota', 29600, false), ('Mercedes', 48890, true), ('Fiat', 15774, false), ('Nissan', 20675, false)) v(make, price, electric) GROUP BY electric")
+@_query("SELECT make, electric, count(*) AS n, sum(price)::BIGINT AS price, min(p_partkey) AS first_part FROM part JOIN (VALUES (0, 'Tesla', 64950, true), (1, 'Ford', 33850, false), (2, 'Toyota', 29600, false), (3, 'Mercedes', 48890, true), (4, 'Fiat', 15774, false), (5, 'Nissan', 20675, false)) v(i, make, price, electric) ON p_partkey % 6 = i GROUP BY make, electric")
 def inline_cars(spark, sf_dir):
-    cars = spark.createDataFrame(_CARS, "make string, model string, price long, electric boolean")
-    return cars.groupBy("electric").agg(F.count("*").alias("n"), F.sum("price").alias("price"), F.min("make").alias("first_make"))
+    """The literal rows of cars, each with the parts that go into it."""
+    cars = spark.createDataFrame([(i, *c) for i, c in enumerate(_CARS)], "i long, make string, model string, price long, electric boolean")
+    parts = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 6).alias("i"))
+    return parts.join(F.broadcast(cars), "i").groupBy("make", "electric").agg(F.count("*").alias("n"), F.sum("price").alias("price"), F.min("p_partkey").alias("first_part"))
+
+
+@_query(_grid_sql("std_no IN ('de', 'fr') AND status IN ('src0', 'src2') AND id NOT IN (1, 2)"))
+def grid_in(spark, sf_dir):
+    """IN on the process table, by strings and by numbers."""
+    files = process_files(spark, sf_dir)
+    return grid.grid(files.where(~predicates.chain(files, [_C("id", "IN", ["1", "2"])])), [_C("doc_num", "IN", ["de", "fr"]), _C("status", "IN", ["src0", "src2"], "AND")])
 
 
 # ---------------------------------------------------------------- more rules

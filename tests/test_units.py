@@ -45,7 +45,7 @@ def test_history_and_stream(spark, tmp_path):
 
 
 def test_insert_and_soft_delete(spark):
-    d = documents.generate(spark, 5)
+    d = documents.generate(spark.range(5))
     assert [f.name for f in d.schema] == DOCUMENTS.names
     with pytest.raises(LookupError):
         documents.soft_delete(d, 99)
