@@ -1,10 +1,12 @@
-"""Registered queries on nested and timed rows: JSON text as variants, sessions."""
+"""Registered queries on nested and timed rows: JSON text as variants, sessions, pyramids of summaries."""
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from siltbed.operators import variants
+from siltbed.operators import pyramid, variants
 from siltbed.plans.queries import _query, _table
 from siltbed.session import scratch_folder
 from siltbed.streaming import sessions
@@ -68,3 +70,27 @@ def event_sessions(spark, sf_dir):
     sessions.run_sessions(spark, f"{at}/in", last.schema, "user_id", "ts", "6 hours", "2 hours", measures, f"{at}/out", f"{at}/checkpoint", 2).awaitTermination()
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return spark.read.parquet(f"{at}/out").where("user_id IS NOT NULL").select("user_id", text("start"), text("end"), "n", "cents")
+
+
+# ---------------------------------------------------------------- pyramids
+
+_RANGES = (("2024-01-03 10:17:00", "2024-01-20 23:05:00"), ("2024-01-01 00:00:00", "2024-02-01 00:00:00"), ("2024-01-05 07:30:00", "2024-01-05 08:10:00"), ("2024-01-09 00:00:00", "2024-01-10 00:00:00"))
+
+
+@_query(" UNION ALL ".join(f"SELECT '{a}' AS since, event_type, user_id % 3 AS band, count(*) AS n, true AS near FROM events WHERE ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}' GROUP BY ALL" for a, b in _RANGES))
+def pyramid_ranges(spark, sf_dir):
+    """Counts of ranges from summaries added in two batches, exact; distinct users and medians lie within their sketches' bounds."""
+    e = _table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("band"), "ts", "user_id", "value")
+    cells = pyramid.Pyramid(spark, scratch_folder(spark), ["event_type", "band"])
+    early = F.col("value") < 20
+    cells.add(e.where(early), 0, "ts", "user_id", "value")
+    cells.add(e.where(~early), 1, "ts", "user_id", "value")
+    out = None
+    for a, b in _RANGES:
+        told = cells.summary(datetime.fromisoformat(a), datetime.fromisoformat(b), [0.5])
+        rows = e.where((F.col("ts") >= F.lit(a).cast("timestamp_ntz")) & (F.col("ts") < F.lit(b).cast("timestamp_ntz"))).join(F.broadcast(told), ["event_type", "band"])
+        least = rows.groupBy("event_type", "band", "n", "keys", "q50").agg(F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") <= F.col("q50")).alias("below"), F.count_if(F.col("value") < F.col("q50")).alias("under"))
+        near = (F.abs(F.col("keys") - F.col("users")) <= 0.05 * F.col("users") + 1) & (F.col("below") >= 0.46 * F.col("n")) & (F.col("under") <= 0.54 * F.col("n") + 1)
+        part = least.select(F.lit(a).alias("since"), "event_type", "band", "n", near.alias("near"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltbed.functions.scalars import is_name
 from siltbed.plans.queries import _query, _table
 from siltbed.session import scratch_folder
-from siltbed.sources import edits, ingest, names
+from siltbed.sources import edits, ingest, names, pages
 
 # ---------------------------------------------------------------- edits
 
@@ -64,3 +64,18 @@ def upload_outcomes(spark, sf_dir):
     i = F.col("doc_id")
     name = F.when(i % 3 == 0, "hot").when(i % 11 == 0, "no name!").otherwise(F.concat(F.lit("name_"), (i - i % 2).cast("string")))
     return ingest.check(d.select("doc_id", name.alias("name")), {"name has other characters": is_name(F.col("name"))}, "name", "doc_id", store).select("doc_id", "outcome")
+
+
+# ---------------------------------------------------------------- pages
+
+
+@_query("SELECT doc_id, lang, source, n_chars, text IS NULL AS untold, sha256(coalesce(text, '')) AS digest, doc_id >= 100 AND doc_id < 140 AS wanted FROM documents")
+def documents_paged(spark, sf_dir):
+    """Whole documents written to pages of JSON and read back, with those of a range looked up by a filter that skips pages."""
+    at, d = scratch_folder(spark), _table(spark, sf_dir, "documents")
+    pages.export(d.select("doc_id", "lang", "source", "n_chars", "text"), at, "doc_id", 100)
+    kinds = "doc_id long, lang string, source string, n_chars long, text string"
+    some = pages.read_pages(spark, at, kinds).where("doc_id >= 100 AND doc_id < 140").select("doc_id", F.lit(True).alias("found"))
+    rows = pages.read_pages(spark, at, kinds).join(some, "doc_id", "left")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("untold"), digest, F.coalesce("found", F.lit(False)).alias("wanted"))

@@ -39,6 +39,18 @@ def read_table(spark: SparkSession, url: str, name: str, **options: str) -> Data
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
 
 
+def read_table_parts(spark: SparkSession, url: str, name: str, column: str, parts: int, **options: str) -> DataFrame:
+    """A database table read by several tasks, each a range of a numeric column; the bounds are asked of the database.
+
+    Rows without the column's value are in the first range. An empty table is read by one task.
+    """
+    ends = read_table(spark, url, f"(SELECT MIN({column}) AS low_end, MAX({column}) AS high_end FROM {name}) ends", **options).first()
+    if ends[0] is None:
+        return read_table(spark, url, name, **options)
+    bounds = {"partitionColumn": column, "lowerBound": str(ends[0]), "upperBound": str(ends[1] + 1), "numPartitions": str(parts)}
+    return read_table(spark, url, name, **bounds, **options)
+
+
 def prompt_rules(name: Column, description: Column, content: Column, creator: Column) -> dict[str, Column]:
     return {
         "name is required": present(name),
