@@ -71,7 +71,7 @@ class PageReader(DataSourceReader):
         files = sorted((int(f.path.rsplit("page=", 1)[1].split("/")[0]), f.path) for f in _listed(f"{self.path}/pages")[1]) if self.index else []
         lost = sorted(set(self.index) - {n for n, _ in files})
         kept = [(n, p) for n, p in [*files, *((n, "") for n in lost)] if n not in self.index or self._allowed(self.index[n])]
-        return [Pages(kept[i : i + self.per_task]) for i in range(0, len(kept), self.per_task)]
+        return [Pages(kept[i : i + self.per_task]) for i in range(0, len(kept), self.per_task)] or [Pages([])]
 
     def read(self, partition: Pages) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(self.schema)
