@@ -20,6 +20,8 @@ from siltbed.llm.common import table
 
 RECORDS = "page_id {id}, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, headers array<struct<name:string,value:string>>, block binary"
 DATE = "2024-01-01T00:00:00Z"
+#: A payload whose codings are taken off may have so many bytes, unless a caller says more; it is unzipped in steps.
+MOST_BYTES, STEP = 1 << 26, 1 << 20
 #: Bytes of blocks that a batch of read records has at most, but for the last one's.
 BATCH = 8 << 20
 
@@ -131,46 +133,72 @@ def _dechunked(body: bytes) -> bytes:
     """A chunked body's data, as far as its sizes can be read; one that does not begin with a size is returned as it is."""
     out, f = [], io.BytesIO(body)
     while line := f.readline():
-        try:
-            size = int(line.split(b";")[0].strip(), 16)
-        except ValueError:
+        size = line.split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
             return b"".join(out) if out else body
-        if size <= 0:
+        size = min(int(size, 16), len(body))
+        if not size:
             break
         out.append(f.read(size))
         f.readline()
     return b"".join(out)
 
 
-def decoded(body: bytes, http: list[tuple[str, str]]) -> bytes | None:
-    """The payload without its transfer and content codings; None if a coding is unknown or broken."""
+class TooLong(Exception):
+    """A payload that is longer than asked for when its coding is taken off."""
+
+
+def _unzipped(body: bytes, most: int) -> bytes | None:
+    """What gzip members laid end to end, or a zlib or raw stream, hold; None if it is none or is broken, and TooLong beyond `most` bytes."""
+    for bits in (47, -15):  # with a header of gzip or zlib, or raw
+        out, left, total = [], body, 0
+        try:
+            while True:
+                unzip = zlib.decompressobj(bits)
+                while left and not unzip.eof:
+                    out.append(unzip.decompress(left, STEP))
+                    left = unzip.unconsumed_tail
+                    total += len(out[-1])
+                    if total > most:
+                        raise TooLong
+                if not unzip.eof:
+                    out.append(unzip.flush())
+                left = unzip.unused_data
+                if not left.startswith(b"\x1f\x8b"):
+                    return b"".join(out)
+        except zlib.error:
+            continue
+    return None
+
+
+def decoded(body: bytes, http: list[tuple[str, str]], most: int = MOST_BYTES) -> bytes | None:
+    """The payload without its transfer and content codings; None if a coding is unknown or broken, TooLong beyond `most` bytes."""
     if "chunked" in (_value(http, "transfer-encoding") or "").lower():
         body = _dechunked(body)
     for coding in reversed([x.strip().lower() for x in (_value(http, "content-encoding") or "").split(",")]):
         if coding in ("gzip", "x-gzip", "deflate"):
-            for bits in (47, -15):  # with a header of gzip or zlib, or raw
-                try:
-                    unzip = zlib.decompressobj(bits)
-                    body = unzip.decompress(body) + unzip.flush()
-                    break
-                except zlib.error:
-                    continue
-            else:
+            body = _unzipped(body, most)
+            if body is None:
                 return None
         elif coding not in ("", "identity"):
             return None
     return body
 
 
-def _derive(row) -> list[tuple]:
+def _derive(row, most: int) -> list[tuple]:
     own = [] if row.headers is None else [(h["name"] or "", h["value"] or "") for h in row.headers if h is not None]
     block = row.block or b""
     status, http, body = _split_http(block)
     kind = _value(http, "content-type") or ""
     media = kind.split(";")[0].strip().lower()
     charset = re.search(r"charset=\s*\"?([\w-]+)", kind)
-    body_text = decoded(body, http) if not media or media.startswith("text/") or media in TEXTUAL else None
-    if body_text is not None and not media and b"\0" in body_text[:1024]:  # undeclared and binary
+    body_text, over = None, False
+    if not media or media.startswith("text/") or media in TEXTUAL:
+        try:
+            body_text = decoded(body, http, most)
+        except TooLong:
+            over = True
+    if body_text is not None and not media and b"\0" in body_text:  # undeclared and binary
         body_text = None
     block_digest, payload_digest = _value(own, "warc-block-digest") or digest(block), _value(own, "warc-payload-digest") or digest(body)
     meta_id, text_id = _urn(row.record_id, "metadata"), _urn(row.record_id, "conversion")
@@ -178,11 +206,12 @@ def _derive(row) -> list[tuple]:
     fields += [("http-status", (status.split(" ", 2) + ["", ""])[1])] if status else []
     fields += [(f"source-http-{k.lower()}", v) for k, v in http]
     fields += [(f"source-{k.lower()}", v) for k, v in own]
+    fields += [("payload-longer-than", str(most))] if over else []
     out = []
     if body_text is not None:
         try:
             page = body_text.decode(charset[1] if charset else "utf-8", "replace")
-        except LookupError:
+        except (LookupError, UnicodeError):  # no codec, or none for texts
             page = body_text.decode("utf-8", "replace")
         markup = media in ("", "text/html", "application/xhtml+xml")
         text, title, links = read_page(page) if markup else (page, None, [])
@@ -214,11 +243,13 @@ def _batches(records: Iterator[tuple], size=lambda r: len(r[7])) -> Iterator[pd.
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
-def derivatives(records: DataFrame) -> DataFrame:
+def derivatives(records: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     """The metadata and the conversion record of every response record, in the columns of RECORDS.
 
     Records of other types give none. A payload that is not text (by its media type, an unknown or broken coding, or
-    zero bytes where no type is given) gives a metadata record alone. Chunked, gzip and deflate payloads are decoded.
+    zero bytes where no type is given) gives a metadata record alone. Chunked, gzip and deflate payloads are decoded, all
+    members of them; one that has more than `most` bytes then gives a metadata record with payload-longer-than, and
+    its text with a higher `most`.
     Metadata lists every header of the source, repeated ones too, and its digests, which are computed where the source
     has none. A null block is an empty one; null headers are no headers. Identifiers follow from the source's, so a
     rerun gives the same, and repeated records give repeated derivatives. Other columns are dropped; an empty table
@@ -227,13 +258,17 @@ def derivatives(records: DataFrame) -> DataFrame:
     kind = records.schema["page_id"].dataType.simpleString()
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _batches(r for batch in batches for row in batch.itertuples(index=False) for r in _derive(row))
+        yield from _batches(r for batch in batches for row in batch.itertuples(index=False) for r in _derive(row, most))
 
     return records.where("warc_type = 'response'").select(*_COLUMNS).mapInPandas(build, RECORDS.format(id=kind))
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
-    """A response record for every row of pages; a null url stays null and null html is an empty payload."""
+    """A response record for every row of pages; a null url stays null and null html is an empty payload.
+
+    Identifiers follow from id and url, so repeated rows give repeated records; a null id is an id. Other columns are
+    dropped, clashing ones too; an empty table gives an empty table.
+    """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -254,7 +289,10 @@ def to_bytes(headers: list, block: bytes) -> bytes:
 
 
 def with_members(records: DataFrame) -> DataFrame:
-    """records with the column member: each record as a gzip member, which laid end to end make a .warc.gz file."""
+    """records with the column member: each record as a gzip member, which laid end to end make a .warc.gz file.
+
+    Headers and block must not be null. Repeated records stay, other columns are dropped, an empty table gives an empty one.
+    """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -297,7 +335,8 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
     """Headers and block of each record of a WARC file, gzipped or not.
 
     Lines before a version line are passed over. Header lines are UTF-8, or else Latin-1; a line that begins with a
-    blank continues the one before. A length that is no number counts as 0. A file that is cut short, or whose
+    blank continues the one before. A length that is no number counts as 0, one of many
+    digits as all that is left. A file that is cut short, or whose
     compression breaks, ends with what could be read: a block may then be shorter than its length.
     """
     f = io.BufferedReader(_Members(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
@@ -315,8 +354,8 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
             elif ":" in text:
                 k, _, v = text.partition(":")
                 headers.append((k.strip(), v.strip()))
-        length = _value(headers, "content-length") or ""
-        left, parts = int(length) if length.isascii() and length.isdigit() else 0, []
+        length = (_value(headers, "content-length") or "").lstrip("0")
+        left, parts = (int(length[:18]) if len(length) < 19 else len(data)) if length.isascii() and length.isdigit() else 0, []
         while left > 0 and (part := f.read(min(left, 1 << 20))):
             parts.append(part)
             left -= len(part)
@@ -326,7 +365,8 @@ def parse(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the WARC files at path, a file a task, in the columns of RECORDS with a null page_id.
 
-    A file may have up to 2 GB, Spark's limit for one value; records leave the task in batches of bounded size.
+    A file may have up to 2 GB, Spark's limit for one value; records leave the task in batches of bounded size. A header
+    that a record lacks is null. Records come as often as they stand in the files; empty files give none.
     """
 
     def row(pairs: list[tuple[str, str]], block: bytes) -> tuple:

@@ -102,3 +102,44 @@ def test_parse():
     cut = list(warc.parse(gzip.compress(one) + gzip.compress(one)[:-12]))
     assert cut[0] == want and list(warc.parse(b"")) == []
     assert list(warc.parse(b"WARC/1.0\r\nContent-Length: x\r\n\r\n")) == [([("Content-Length", "x")], b"")]
+
+
+def response(body, *http, kind="text/html"):
+    lines = [f"Content-Type: {kind}"] if kind else []
+    return ("\r\n".join(["HTTP/1.1 200 OK", *lines, *http]) + "\r\n\r\n").encode() + body
+
+
+def derived(spark, block, most=warc.MOST_BYTES):
+    d = spark.createDataFrame([(1, "response", "<urn:a>", None, "u", "d", [], bytearray(block))], warc.RECORDS.format(id="long"))
+    return {r.warc_type: bytes(r.block) for r in warc.derivatives(d, most).collect()}
+
+
+@pytest.mark.parametrize("block,text", [
+    (response(b"FFFFFFFFFFFFFFFFFFFF\r\nhello", "Transfer-Encoding: chunked"), b"hello"),
+    (response(b"+5\r\nhello", "Transfer-Encoding: chunked"), b"+5 hello"),
+    (response(b"5\r\nhello\r\n0\r\n\r\n", "Transfer-Encoding: chunked"), b"hello"),
+    (response(b"hello", kind="text/html; charset=idna"), b"hello"),
+    (response(b"hello", kind="text/html; charset=undefined"), b"hello"),
+    (response(gzip.compress(b"hello ") + gzip.compress(b"world") + b"rest", "Content-Encoding: gzip"), b"hello world"),
+    (response(gzip.compress(gzip.compress(b"hello")), "Content-Encoding: gzip, gzip"), b"hello"),
+    (response(gzip.compress(b"hello") + b"\x1f\x8bno", "Content-Encoding: gzip"), None),
+    (response(b"x" * 5000 + b"\0", kind=""), None),
+])
+def test_odd_payloads(spark, block, text):
+    got = derived(spark, block)
+    assert (got["conversion"].split() if "conversion" in got else None) == (None if text is None else text.split())
+
+
+def test_a_payload_that_grows(spark):
+    block = response(gzip.compress(b"word " * 400_000), "Content-Encoding: gzip")
+    got = derived(spark, block, 1_000_000)
+    assert set(got) == {"metadata"} and b"payload-longer-than: 1000000\r\n" in got["metadata"]
+    assert len(derived(spark, block, 2_000_000)["conversion"].split()) == 400_000
+    with pytest.raises(warc.TooLong):
+        warc.decoded(gzip.compress(b"\0" * 300_000_000), [("Content-Encoding", "gzip")])
+
+
+def test_lengths_of_many_digits():
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %s\r\n\r\n"
+    assert [b for _, b in warc.parse(head % (b"9" * 5000) + b"all of it")] == [b"all of it"]
+    assert [b for _, b in warc.parse(head % (b"0" * 5000 + b"3") + b"all of it")] == [b"all"]
