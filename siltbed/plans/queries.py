@@ -297,7 +297,12 @@ def chart_row_count(spark, sf_dir):
     return history(spark, sf_dir).agg(F.count("*").alias("num_records"))
 
 
-@_query()
+@_query("""WITH RECURSIVE p AS (SELECT event_type, epoch_us(ts)::DOUBLE AS t, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS total FROM events),
+b AS (SELECT *, CASE WHEN place = 0 THEN 0 WHEN place = total - 1 THEN 199 ELSE (place * 198 - 1) // (total - 2) + 1 END AS bucket FROM p WHERE total > 200),
+m AS (SELECT event_type, bucket, avg(t) AS ct, avg(value) AS cv FROM b GROUP BY ALL),
+walk AS (SELECT event_type, bucket, t, value FROM b WHERE bucket = 0 UNION ALL SELECT * FROM (SELECT b.event_type, b.bucket, b.t, b.value FROM walk w JOIN b ON b.event_type = w.event_type AND b.bucket = w.bucket + 1
+LEFT JOIN m ON m.event_type = w.event_type AND m.bucket = w.bucket + 2 QUALIFY row_number() OVER (PARTITION BY b.event_type ORDER BY abs((w.t - m.ct) * (b.value - w.value) - (w.t - b.t) * (m.cv - w.value)) DESC, b.t, b.value) = 1))
+SELECT event_type, t, value FROM walk UNION ALL SELECT event_type, t, value FROM p WHERE total <= 200""")
 def chart_downsampled(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("t"), "value")
     return charts.downsample(e, "event_type", "t", "value", 200)
@@ -483,9 +488,18 @@ def month_grid(spark, sf_dir):
     return d.select("month", "day", (F.trunc("day", "month") == F.col("month")).alias("inside"), F.dayofweek("day").isin(1, 7).alias("weekend"))
 
 
-@_query("SELECT n_chars, CASE WHEN n_chars = 0 THEN '0 Bytes' WHEN n_chars < 1024 THEN n_chars || ' Bytes' ELSE regexp_replace(round(n_chars / 1024.0, 2)::DOUBLE::VARCHAR, '\\.0$', '') || ' KB' END AS shown FROM documents")
+_SIZED = "(SELECT doc_id, times, n_chars * times AS size FROM documents, (VALUES (1), (1500), (1500000)) v(times))"
+
+
+def _unit(power: int, name: str) -> str:
+    return f"regexp_replace(round(size / {1024**power}.0, 2)::DOUBLE::VARCHAR, '\\.0$', '') || ' {name}'"
+
+
+@_query(f"SELECT doc_id, times, CASE WHEN size = 0 THEN '0 Bytes' WHEN size < 1024 THEN size || ' Bytes' WHEN size < {1024**2} THEN {_unit(1, 'KB')} WHEN size < {1024**3} THEN {_unit(2, 'MB')} ELSE {_unit(3, 'GB')} END AS shown FROM {_SIZED}")
 def file_size(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("n_chars", scalars.file_size(F.col("n_chars")).alias("shown"))
+    """The texts' lengths as sizes of bytes to gigabytes."""
+    times = F.explode(F.array(*[F.lit(t) for t in (1, 1500, 1_500_000)])).alias("times")
+    return _table(spark, sf_dir, "documents").select("doc_id", "n_chars", times).select("doc_id", "times", scalars.file_size(F.col("n_chars") * F.col("times")).alias("shown"))
 
 
 @_query("SELECT doc_id, left(text, 100) || '...' AS shown, lower(string_split(source || '.' || lang, '.')[-1]) AS extension FROM documents")
