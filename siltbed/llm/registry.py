@@ -12,5 +12,5 @@ QUERIES = {
 }
 SQL = {
     "op2_url_rules": url_rules.OP2_SQL, "op6_line_quality": line_quality.OP6_SQL, "op9_benchmark_decontamination": decontaminate.OP9_SQL,
-    "op13_ranked_search": ranked_search.OP13_SQL,
+    "op3_token_counts": token_counts.OP3_SQL, "op13_ranked_search": ranked_search.OP13_SQL,
 }

@@ -127,3 +127,15 @@ def piece_counts(docs: DataFrame, pieces: list[bytes], id_col: str = "doc_id", t
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts(table(spark, sf_dir, "documents"), read_pieces(VOCABULARY))
+
+
+# distinct words, as hex digits, each cut by its longest piece again and again
+OP3_SQL = rf"""WITH RECURSIVE v AS (SELECT hex(from_base64(piece)) AS p FROM read_csv('{VOCABULARY}', delim=' ', header=false, quote='', escape='', columns={{'piece': 'VARCHAR', 'rank': 'BIGINT'}})),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+o AS (SELECT r, unnest(w) AS word FROM d),
+g AS (SELECT word, 0 AS n, '20' || hex(encode(word)) AS rest FROM (SELECT DISTINCT word FROM o) UNION ALL
+SELECT word, n + 1, substr(rest, length(p) + 1) FROM (SELECT word, n, rest, p FROM (SELECT word, n, rest, unnest(range(1, least(length(rest) // 2, (SELECT max(length(p)) // 2 FROM v)) + 1)) AS l FROM g WHERE rest <> '') t
+JOIN v ON v.p = left(rest, 2 * l) QUALIFY row_number() OVER (PARTITION BY word ORDER BY l DESC) = 1)),
+k AS (SELECT word, n FROM g WHERE rest = ''),
+s AS (SELECT r, count(*) AS n_words, sum(coalesce(n, 1)) AS n_pieces, count(*) FILTER (WHERE n IS NULL) AS n_unknown FROM o LEFT JOIN k USING (word) GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_pieces, 0)::BIGINT AS n_pieces, coalesce(n_unknown, 0)::BIGINT AS n_unknown FROM d LEFT JOIN s USING (r)"""
