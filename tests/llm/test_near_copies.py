@@ -46,3 +46,35 @@ def test_first_copies(spark, hot):
     d = spark.createDataFrame(rows, "key long, text string").repartition(5)
     got = {x.key: x.first for x in near_copies.first_copies(d, hot=hot).collect()}
     assert got == dict(enumerate(root))
+
+
+def test_template_texts_make_few_pairs(spark, monkeypatch):
+    """Texts of 7 out of 14 shared paragraphs, some of them copied with a word changed: the pairs made grow like the texts, not their square."""
+    r = random.Random(7)
+    paragraphs = [[f"w{p}x{i}" for i in range(30)] for p in range(14)]
+    made = {}
+    for m in (200, 800):
+        texts = [sum((paragraphs[p] for p in sorted(r.sample(range(14), 7))), [f"own{i}"]) for i in range(m)]
+        for i in range(0, m, 20):
+            texts[i] = [*texts[i + 1][:100], "changed", *texts[i + 1][101:]]
+        rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+        counted, whole = [], near_copies._verified
+        monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest, of=whole, n=counted: n.append(pairs.count()) or of(pairs, *rest))
+        got = {x.key: x.first for x in near_copies.first_copies(spark.createDataFrame(rows, "key long, text string").repartition(4)).collect()}
+        monkeypatch.setattr(near_copies, "_verified", whole)
+        sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+        root = list(range(m))
+
+        def at(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in range(m):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    a, b = sorted((at(i), at(j)))
+                    root[b] = a
+        assert got == {i: at(i) for i in range(m)}
+        made[m] = sum(counted)
+    assert made[800] < 0.05 * 800 * 800 and made[800] < 8 * made[200] + 500, made

@@ -373,3 +373,27 @@ def test_lm_score_random_target(spark):
     ranks = got.score.rank()
     auc = (ranks[inside].sum() - inside.sum() * (inside.sum() + 1) / 2) / (inside.sum() * (~inside).sum())
     assert 0.45 < auc < 0.55, auc
+
+
+def test_edges_by_values(spark):
+    """What each operator returns for nulls, empty and blank texts, repeated rows and ids, and a long text of one word."""
+    d = docs(spark, EDGES)
+    of = lambda df, *columns: sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
+    want = lambda f: sorted(repr((i, *f(t))) for i, t in EDGES)
+
+    words = lambda t: len((t or "").split())
+    lines = lambda t: sum(bool(x.split()) for x in (t or "").split("\n"))
+    cut = suffix_dedup.remove_repeats(d)
+    assert of(cut, "doc_id", "n_bytes", "n_removed", "starts", "ends") == want(lambda t: (len(t or ""), 15000, [0], [15000]) if words(t) > 9 else (len(t or ""), 0, [], []))
+    assert {bytes(r.kept) for r in cut.collect() if r.n_removed} == {b""}
+    judged = line_quality.line_first_clean(d)
+    assert of(judged, "doc_id", "n_words", "word_chars", "n_repeat_words", "base_failed", "kept") == want(lambda t: (words(t), len("".join((t or "").split())), 5000 if words(t) > 9 else 0, True, False))
+    # the two rows (4, "x") are one document; no line is near another
+    kept = line_dedup.dedup_lines(d)
+    assert of(kept, "doc_id", "n_lines", "n_removed") == want(lambda t: (lines(t), 0))
+    found = simhash.simhash_components(d)
+    assert of(found, "doc_id", "fingerprint") == want(lambda t: (f"{plain_fingerprint(t):016x}",))
+    assert {r.component_id for r in found.collect() if int(r.fingerprint, 16) == 0} == {1}
+    mixed = mixing.mix(d)
+    assert of(mixed, "doc_id", "size") == want(lambda t: (words(t),))
+    assert all(0 <= r.taken <= 2 * r["size"] for r in mixed.collect()) and abs(sum(r.taken for r in mixed.collect()) - 1.5 * 5006) <= 5000
