@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -29,6 +31,16 @@ def aligned(history: DataFrame, statuses: list[str]) -> DataFrame:
     return history.groupBy("type", "created_at").pivot("status", statuses).sum("rcd_count").na.fill(0, statuses)
 
 
+def every_time(history: DataFrame, most: int = 10_000) -> DataFrame:
+    """type, status and created_at: every series at every time that any series has, for alignment; at most so many series."""
+    series = [tuple(r) for r in history.select("type", "status").distinct().limit(most + 1).collect()]
+    if len(series) > most:
+        raise ValueError(f"more than {most} series")
+    kind = history.select("type", "status").schema.simpleString()
+    of = F.from_json(F.lit(json.dumps([{"type": t, "status": s} for t, s in series])), f"array<{kind}>")
+    return history.select("created_at").distinct().select("created_at", F.explode(of).alias("x")).select("x.type", "x.status", "created_at")
+
+
 def last_days(df: DataFrame, column: str, days: int, reference: str) -> DataFrame:
     return df.where(F.col(column).cast("date") >= F.date_sub(F.lit(reference).cast("date"), days))
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.operators import asof, grid, ranks, substring
+from siltbed.operators import asof, charts, grid, ranks, substring
 from siltbed.plans.queries import _query, _table
 from siltbed.session import scratch_folder
 from siltbed.streaming import changes
@@ -42,10 +42,7 @@ def chart_asof(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
     status = F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("status")
     h = e.groupBy(F.col("event_type").alias("type"), status, F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("created_at")).agg(F.count("*").alias("rcd_count"))
-    series = h.select("type", "status").distinct()
-    times = h.groupBy().agg(F.collect_set("created_at").alias("times"))  # the times of one axis, which a chart shows as a list
-    wanted = series.join(F.broadcast(times)).select("type", "status", F.explode("times").alias("created_at"))
-    return asof.asof(wanted, h.withColumn("known_at", F.col("created_at")), ["type", "status"], "created_at", ["rcd_count", "known_at"])
+    return asof.asof(charts.every_time(h), h.withColumn("known_at", F.col("created_at")), ["type", "status"], "created_at", ["rcd_count", "known_at"])
 
 
 @_query("SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
