@@ -2,7 +2,8 @@
 
 Equal strings of LENGTH bytes have the same least K-gram (by a content hash) at the same place, their anchor. Each text is
 cut into segments, the runs of string starts with one anchor, so equal strings meet under their anchor's hash, and
-an anchor that occurs once in the corpus is done with. Equal segments are summed up; what is left is dealt out by
+an anchor that occurs once in the corpus is done with. In a run with a period each period begins a segment like the one
+before, and they are one row with a number of times. Equal segments are summed up; what is left is dealt out by
 anchor and sorted per batch of anchors: suffixes smaller than their successors are sorted directly, the others are
 induced from them bucket by bucket, and neighbours with a common prefix of LENGTH are repeats. A segment that occurs
 more than once is entered twice.
@@ -97,10 +98,31 @@ def _find_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for g in _grouped(batches, lambda x: x["text"].str.len().fillna(0).to_numpy(), TEXTS):
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in g["text"]]
         own, key, lo, n, place, pos = segments(texts)
-        data = memoryview(b"".join(texts))
-        digests = (xxhash.xxh3_64_intdigest(data[p : p + m + LENGTH - 1]) for p, m in zip(place.tolist(), n.tolist(), strict=True))
+        data = b"".join(texts)
+        new = ~_like_the_last(data, own, key, n, place, pos)
+        times = np.diff(np.append(np.flatnonzero(new), len(own)))
+        own, key, lo, n, place, pos = (x[new] for x in (own, key, lo, n, place, pos))
+        view = memoryview(data)
+        digests = (xxhash.xxh3_64_intdigest(view[p : p + m + LENGTH - 1]) for p, m in zip(place.tolist(), n.tolist(), strict=True))
         seg = np.fromiter(digests, np.uint64, len(own)).view(np.int64)
-        yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy()[own], "h": g["h"].to_numpy()[own], "key": key, "seg": seg, "lo": lo.astype(np.int32), "n": n.astype(np.int32), "pos": pos.astype(np.int32)})
+        kinds = {"lo": lo, "n": n, "pos": pos, "times": times}
+        yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy()[own], "h": g["h"].to_numpy()[own], "key": key, "seg": seg} | {c: x.astype(np.int32) for c, x in kinds.items()})
+
+
+def _like_the_last(data: bytes, own: np.ndarray, key: np.ndarray, n: np.ndarray, place: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which segments have the bytes of the one before, as in a run with a period: the text is equal n bytes on, all along."""
+    like = np.zeros(len(own), bool)
+    like[1:] = (own[1:] == own[:-1]) & (key[1:] == key[:-1]) & (n[1:] == n[:-1]) & (pos[1:] == pos[:-1])
+    b = np.frombuffer(data, np.uint8)
+    for step in np.unique(n[like]).tolist():
+        rows = np.flatnonzero(like & (n == step))
+        first = int(place[rows[0]]) - step
+        end = int(place[rows[-1]]) + step + LENGTH - 1
+        differ = np.zeros(end - step - first + 1, np.int32)
+        np.cumsum(b[first : end - step] != b[first + step : end], out=differ[1:])
+        at = place[rows] - step - first
+        like[rows] = differ[at + step + LENGTH - 1] == differ[at]
+    return like
 
 
 def suffix_order(data: bytes, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -248,7 +270,8 @@ def _cut_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             data = (text or "").encode("utf-8", "surrogatepass")
             gone = np.zeros(len(data) + 1, np.int32)
             for x in () if found is None else found:
-                a, b = np.asarray(x["a"], np.int64) + x["lo"], np.asarray(x["b"], np.int64) + x["lo"] + LENGTH
+                # the next of equal segments begins before the last one's strings end
+                a, b = np.asarray(x["a"], np.int64) + x["lo"], np.asarray(x["b"], np.int64) + x["lo"] + x["n"] * (x["times"] - 1) + LENGTH
                 np.add.at(gone, a, 1)
                 np.add.at(gone, b, -1)
             flags = np.cumsum(gone)[: len(data)] > 0
@@ -270,11 +293,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     doc = F.struct("doc_id", "h").alias("doc")
-    at = stored(d.mapInPandas(_find_segments, f"doc_id {kind}, h long, key long, seg long, lo int, n int, pos int").select(doc, "key", "seg", "lo", "n", "pos"))
-    keys = stored(at.groupBy("key").agg(F.count("*").alias("total")).where("total > 1").select("key"))  # so that the join's hot keys can be split
+    at = stored(d.mapInPandas(_find_segments, f"doc_id {kind}, h long, key long, seg long, lo int, n int, pos int, times int").select(doc, "key", "seg", "lo", "n", "pos", "times"))
+    keys = stored(at.groupBy("key").agg(F.sum("times").alias("total")).where("total > 1").select("key"))  # so that the join's hot keys can be split
     at = stored(at.join(keys, "key", "left_semi"))
 
-    segs = at.groupBy("key", "seg").agg(F.count("*").alias("m"), F.min(F.struct("doc", "lo", "n", "pos")).alias("x"))
+    segs = at.groupBy("key", "seg").agg(F.sum("times").alias("m"), F.min(F.struct("doc", "lo", "n", "pos")).alias("x"))
     segs = segs.groupBy("x.doc").agg(F.collect_list(F.struct("key", "seg", "m", "x.lo", "x.n", "x.pos")).alias("segs"))
     whole = d.select(doc, F.col("text").cast("binary").alias("data"))
     part = lambda s: F.struct(*[s[c].alias(c) for c in ("key", "seg", "m", "pos")], F.substring("data", s["lo"] + 1, s["n"] + (LENGTH - 1)).alias("part"))
@@ -288,7 +311,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shifted = lambda c: F.transform(c, lambda i: i + F.col("base")).alias(c)
     found = parts.select("key", "seg", "base", "group", "own").distinct().join(stored(found), ["group", "own"]).select("key", "seg", shifted("a"), shifted("b"))
 
-    hits = at.join(found, ["key", "seg"]).groupBy("doc").agg(F.collect_set(F.struct("lo", "a", "b")).alias("found"))
+    hits = at.join(found, ["key", "seg"]).groupBy("doc").agg(F.collect_set(F.struct("lo", "n", "times", "a", "b")).alias("found"))
     out = d.select(doc, "text").join(hits, "doc", "left").select(F.col("doc.doc_id").alias("doc_id"), "text", "found")
     return out.mapInPandas(_cut_texts, f"doc_id {kind}, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary")
 

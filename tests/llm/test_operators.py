@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -179,6 +180,10 @@ def test_suffix_dedup(spark, hot):
     texts = ["".join(r.choice("xyz ") for _ in range(r.randrange(300))) + r.choice(shared) + "".join(r.choice("xyz ") for _ in range(r.randrange(300))) for _ in range(25)]
     texts += ["".join(r.choice("uvw ") for _ in range(r.randrange(300))) + shared[-1] + "".join(r.choice("uvw ") for _ in range(r.randrange(300))) for _ in range(40)]
     texts += [None, "", "q" * 900, "pq" * 300, texts[0], texts[0]]
+    for p in (1, 2, 7, 100, 349, 350, 351, 352, 399, 400, 401):  # runs with a period, of many lengths, and broken ones
+        unit = "".join(r.choice("klm é") for _ in range(p))
+        for n in (399, 400, 400 + p - 1, 400 + p, 400 + 2 * p, 1500):
+            texts.append("".join(r.choice("xyz ") for _ in range(r.randrange(60))) + (unit * (n // len(unit) + 1))[:n] + r.choice(["", "!", "!" + unit * 4]))
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
     got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs(spark, list(enumerate(texts))), hot=hot).collect()}
@@ -190,6 +195,16 @@ def test_suffix_dedup(spark, hot):
         assert got[k].n_removed == gone.sum() and bytes(got[k].kept) == np.frombuffer(d, np.uint8)[~gone].tobytes()
 
 
+@pytest.mark.parametrize("unit", ["a", "abcdefg", "é"])
+def test_long_runs(unit):
+    """A long run with a period gives few segments, in time linear in its bytes."""
+    text = "start " + unit * (10_000_000 // len(unit.encode())) + " end"
+    began = time.time()
+    (found,) = suffix_dedup._find_segments([pd.DataFrame({"doc_id": [1], "h": [2], "text": [text]})])
+    assert len(found) < 2000 and time.time() - began < 20
+    assert (found["n"] * found["times"]).sum() == len(text.encode()) - 399
+
+
 def test_suffix_order():
     r = random.Random(1)
     for _ in range(200):
