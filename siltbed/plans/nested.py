@@ -58,6 +58,7 @@ def event_sessions(spark, sf_dir):
     """Users' sessions from a stream of batches in which rows come up to an hour late."""
     at = scratch_folder(spark)
     e = _table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+    keys = e.agg(F.approx_count_distinct("user_id")).first()[0]
     e = e.withColumn("arrives", F.timestamp_seconds(F.unix_micros("ts") / 1e6 + F.pmod(F.xxhash64("event_id"), F.lit(3600))))
     ends = e.agg(F.min("arrives").alias("a"), F.max("arrives").alias("b")).select(F.unix_micros("a").alias("a"), F.unix_micros("b").alias("b")).first()
     part = F.floor((F.unix_micros("arrives") - ends.a) * 4 / (ends.b - ends.a + 1))
@@ -67,7 +68,7 @@ def event_sessions(spark, sf_dir):
         rows = e.where(part == i).drop("arrives").repartition(2, "event_id") if i < 4 else last.repartition(2)
         rows.write.mode("append").parquet(f"{at}/in")
     measures = [F.count("*").alias("n"), F.sum("cents").alias("cents")]
-    sessions.run_sessions(spark, f"{at}/in", last.schema, "user_id", "ts", "6 hours", "2 hours", measures, f"{at}/out", f"{at}/checkpoint", 2).awaitTermination()
+    sessions.run_sessions(spark, f"{at}/in", last.schema, "user_id", "ts", "6 hours", "2 hours", measures, f"{at}/out", f"{at}/checkpoint", 2, 8 + keys // 100_000).awaitTermination()
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return spark.read.parquet(f"{at}/out").where("user_id IS NOT NULL").select("user_id", text("start"), text("end"), "n", "cents")
 

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,16 @@ def written(df: DataFrame) -> DataFrame:
     at = scratch_folder(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
+    """A stream that is started within has n partitions of state, which it keeps; the session's own number stays as it is."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if n is not None:
+        spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

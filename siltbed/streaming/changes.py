@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from siltbed.session import state_partitions
+
 COUNTS = "status_name string, status_value string, rcd_count long"
 _CHANGES = "status_name string, status_value string, change long, late long"
 
@@ -59,13 +61,13 @@ def status_changes(rows: DataFrame, key: str, at: str, tie: str, columns: Sequen
 
 
 def run_changes(
-    spark: SparkSession, source: str, schema: StructType, key: str, at: str, tie: str, columns: Sequence[str], history: str, checkpoint: str, files: int | None = None, every: str | None = None
+    spark: SparkSession, source: str, schema: StructType, key: str, at: str, tie: str, columns: Sequence[str], history: str, checkpoint: str, files: int | None = None, every: str | None = None, partitions: int | None = None
 ) -> StreamingQuery:
     """Follows the files at source; `history` gets a folder batch=number with the counts after each micro-batch.
 
     A batch has `files` files at most, if given. It runs once over what has arrived, or at the interval `every`. With
     the same checkpoint it goes on where it stopped. A history's batch has the whole counts, a row per status, and a
-    row without a status for the late rows so far.
+    row without a status for the late rows so far. State has `partitions` parts from the first start on.
     """
     reader = spark.readStream.schema(schema)
     stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
@@ -79,7 +81,8 @@ def run_changes(
         counts.coalesce(1).write.mode("overwrite").parquet(f"{history}/batch={number}")
 
     writer = status_changes(stream, key, at, tie, columns).writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    with state_partitions(spark, partitions):
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def latest_counts(spark: SparkSession, history: str) -> DataFrame:

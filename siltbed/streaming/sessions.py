@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from siltbed.session import state_partitions
+
 
 def sessions(rows: DataFrame, key: str, at: str, gap: str, *measures, late: str | None = None) -> DataFrame:
     """key, start, end and measures of each session: a key's rows with less than gap between one and the next.
@@ -20,12 +22,17 @@ def sessions(rows: DataFrame, key: str, at: str, gap: str, *measures, late: str
     return found.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), *[c for c in found.columns if c not in (key, "w")])
 
 
-def run_sessions(spark: SparkSession, source: str, schema: StructType, key: str, at: str, gap: str, late: str, measures, out: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
-    """Adds the sessions of the files that have arrived at source to the Parquet files in out, each once."""
+def run_sessions(spark: SparkSession, source: str, schema: StructType, key: str, at: str, gap: str, late: str, measures, out: str, checkpoint: str, files: int | None = None, partitions: int | None = None) -> StreamingQuery:
+    """Adds the sessions of the files that have arrived at source to the Parquet files in out, each once.
+
+    State has `partitions` parts from the first start on.
+    """
     reader = spark.readStream.schema(schema)
     stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(source)
     found = sessions(stream, key, at, gap, *measures, late=late)
-    return found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    writer = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    with state_partitions(spark, partitions):
+        return writer.trigger(availableNow=True).start()
 
 
 def late_rows(query: StreamingQuery) -> int:
