@@ -83,15 +83,14 @@ class EditedTable:
         marks = [F.lit(batch).cast("long").alias("_batch"), place.alias("_seq"), F.lit(op).alias("_op"), F.array(*map(F.lit, sets)).cast("array<string>").alias("_sets"), F.lit(gone).alias("_gone")]
         at = f"{self.path}/batch/{batch}"
         rows.select(*columns, *marks).write.mode("overwrite").parquet(at)
-        written = self.spark.read.parquet(at)
-        keys = written.select(self.key)
-        n = keys.count()
-        if keys.where(F.col(self.key).isNull()).count() or (not seq and keys.distinct().count() < n):
+        keys = self.spark.read.parquet(at).select(self.key)
+        n, given, different = keys.agg(F.count("*"), F.count(self.key), F.countDistinct(self.key)).first()
+        if given < n or (not seq and different < n):
             raise ValueError("keys must not be null, nor repeated without a place in the batch")
-        known = self.read(batch).select(self.key)
-        if op == "insert" and (keys.join(known, self.key, "left_semi").count() or keys.distinct().count() < n):
+        missing = keys.distinct().join(self.read(batch).select(self.key), self.key, "left_anti").count()
+        if op == "insert" and missing < n:
             raise ValueError("a key to insert is there already")
-        if op == "update" and keys.join(known, self.key, "left_anti").count():
+        if op == "update" and missing:
             raise LookupError("a key to change is not there")
         self._mark("batch", batch, 0, 0, n)
         return n
