@@ -8,12 +8,16 @@ sets that similar share a shingle among the first n - ceil(0.8 n) + 1 of each.
 The order is by hash, but shingles that more than HOT sets have come last, so a passage that many texts share makes no
 candidates of them, unless little else is in a text. For that a longer run of each set's shingles is stored, and a
 shingle comes last only if every set has enough others in its run. Shingles whose holders are in one component already
-are dropped before pairs are made. A pair must pass two exact bounds before its sets are read again and compared: the
-place of the first common shingle, and parity bitmaps, whose differing bits are no more than the differing shingles.
+are dropped before pairs are made. A pair must pass exact bounds: within the join, so that no row is made of others,
+the place of the first common shingle and, where more than HOT sets share it, 1024 parity bits, whose differing bits
+are no more than the differing shingles; then a bitmap as large as the sets. Only then are the sets read again and
+compared.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructType
 
-from siltbed.llm.common import cut, stored
+from siltbed.llm.common import cut, drop, stored
 from siltbed.llm.components import components
 from siltbed.llm.simhash import fingerprint_links, fingerprint_of, shingle_hashes
 
@@ -31,6 +35,9 @@ SIZE = 5
 HOT = 16
 #: At most so many keys, of some 50 bytes, are broadcast; more are joined by a shuffle.
 MOST_KEYS = 200_000
+#: Longs of the bitmap that is compared where pairs are made.
+FOLD = 16
+_FOLDS = [f"f{i}" for i in range(FOLD)]
 
 
 def _set(text: str | None) -> np.ndarray:
@@ -53,7 +60,18 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-@F.pandas_udf(StructType().add("fp", LongType()).add("g", LongType()).add("n", IntegerType()).add("run", ArrayType(LongType())).add("bits", BinaryType()))
+def folded(hashes: np.ndarray) -> list[int]:
+    """Parities of the distinct hashes in FOLD * 64 buckets, as longs."""
+    counts = np.bincount((hashes & np.uint64(64 * FOLD - 1)).astype(np.int64), minlength=64 * FOLD)
+    return np.packbits(counts & 1, bitorder="little").view(np.int64).tolist()
+
+
+_READ = StructType().add("fp", LongType()).add("g", LongType()).add("n", IntegerType()).add("run", ArrayType(LongType())).add("bits", BinaryType())
+for _f in _FOLDS:
+    _READ = _READ.add(_f, LongType())
+
+
+@F.pandas_udf(_READ)
 def _read(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
@@ -61,8 +79,8 @@ def _read(texts: pd.Series) -> pd.DataFrame:
         s = np.unique(h)
         g = np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64)
         run = s[: len(s) - -(-4 * len(s) // 5) + 1 + len(s) // 8 + 8]
-        rows.append((fingerprint_of(h), int(g), len(s), run.view(np.int64), bitmap(s)))
-    return pd.DataFrame(rows, columns=["fp", "g", "n", "run", "bits"])
+        rows.append((fingerprint_of(h), int(g), len(s), run.view(np.int64), bitmap(s), *folded(s)))
+    return pd.DataFrame(rows, columns=["fp", "g", "n", "run", "bits", *_FOLDS])
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -104,6 +122,17 @@ def _in_prefix(sets: DataFrame, hot: int) -> DataFrame:
     return held.withColumn("pos", F.col("pos") - before.cast("int")).where("NOT last AND pos < length").select("g", "t", "pos")
 
 
+def _pairs(held: DataFrame, folds: list[str]) -> DataFrame:
+    """(u, v) of sets (g, t, pos, n, root and folds) that share a shingle and may be near; all is tested before a row is made."""
+    renamed = {"g": "v", "n": "m", "root": "r", "pos": "at"} | {f: f"o{f}" for f in folds}
+    other = held.select("t", *[F.col(c).alias(to) for c, to in renamed.items()])
+    both = F.col("n") + F.col("m")
+    most = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("at") - 1)  # in common, if this is the first
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f).bitwiseXOR(F.col(f"o{f}"))) for f in folds], F.lit(0))
+    near = (9 * most >= 4 * both) & (9 * apart <= both)
+    return held.withColumnRenamed("g", "u").join(other, "t").where("root < r AND 5 * least(n, m) >= 4 * greatest(n, m)").where(near).select("u", "v")
+
+
 def first_copies(docs: DataFrame, key_col: str = "key", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """key and first, the least key of the texts that are reached by near copies, a row per distinct key and text.
 
@@ -112,7 +141,9 @@ def first_copies(docs: DataFrame, key_col: str = "key", text_col: str = "text",
     docs = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
     rows = stored(docs.select("key", _read("text").alias("x")).select("key", "x.*"))
     nodes = stored(rows.groupBy("g").agg(F.min("key").alias("key"), F.min("fp").alias("fp")))
+    keys = stored(rows.select("key", "g").distinct())
     sets = stored(rows.join(nodes.select("key"), "key", "left_semi").dropDuplicates(["g"]))
+    drop(rows)
 
     fps = cut(nodes.groupBy("fp").agg(F.min("g").alias("at")))
     near = fps.join(components(fingerprint_links(fps.select("fp"))).withColumnRenamed("id", "fp"), "fp", "left")
@@ -122,16 +153,20 @@ def first_copies(docs: DataFrame, key_col: str = "key", text_col: str = "text",
     sure = cut(_verified(guess, sets, docs))
     label = cut(components(sure).withColumnRenamed("id", "g"))
 
-    held = _in_prefix(sets, hot).join(label, "g", "left").withColumn("root", F.coalesce("root", "g"))
-    held = stored(held.join(sets.select("g", "n"), "g"))
-    mixed = stored(held.groupBy("t").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("t"))
-    held = stored(held.join(mixed, "t", "left_semi"))
-    other = held.select("t", F.col("g").alias("v"), F.col("n").alias("m"), F.col("root").alias("r"), F.col("pos").alias("at"))
-    most = 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("at") - 1)  # in common, if this is the first
-    pairs = held.withColumnRenamed("g", "u").join(other, "t").where("root < r AND 5 * least(n, m) >= 4 * greatest(n, m)")
-    rest = _verified(pairs.where(9 * most >= 4 * (F.col("n") + F.col("m"))).select("u", "v").distinct(), sets, docs)
+    found = _in_prefix(sets, hot).join(label, "g", "left").withColumn("root", F.coalesce("root", "g"))
+    found = stored(found.join(sets.select("g", "n"), "g"))
+    mixed = found.groupBy("t").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("k")).where("a <> b")
+    mixed = stored(mixed.select("t", (F.col("k") > hot).alias("many")))
+    held = stored(found.join(mixed, "t"))
+    drop(found, mixed)
+    # a shingle that few sets have makes few pairs a set
+    few, many = held.where("NOT many").drop("many"), held.where("many").drop("many")
+    pairs = _pairs(few, []).unionByName(_pairs(many.join(sets.select("g", *_FOLDS), "g"), _FOLDS))
+    rest = _verified(pairs.distinct(), sets, docs)
 
     root = components(sure.unionByName(rest)).withColumnRenamed("id", "g")
     all_nodes = cut(nodes.join(root, "g", "left").select("g", "key", F.coalesce("root", "g").alias("root")))
     least = cut(all_nodes.groupBy("root").agg(F.min("key").alias("first")))
-    return rows.select("key", "g").distinct().join(all_nodes.select("g", "root").join(least, "root").select("g", "first"), "g").select("key", "first")
+    out = stored(keys.join(all_nodes.select("g", "root").join(least, "root").select("g", "first"), "g").select("key", "first"))
+    drop(nodes, keys, sets, held)
+    return out

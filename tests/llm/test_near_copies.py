@@ -53,7 +53,7 @@ def test_template_texts_make_few_pairs(spark, monkeypatch):
     r = random.Random(7)
     paragraphs = [[f"w{p}x{i}" for i in range(30)] for p in range(14)]
     made = {}
-    for m in (200, 800):
+    for m in (150, 600):
         texts = [sum((paragraphs[p] for p in sorted(r.sample(range(14), 7))), [f"own{i}"]) for i in range(m)]
         for i in range(0, m, 20):
             texts[i] = [*texts[i + 1][:100], "changed", *texts[i + 1][101:]]
@@ -77,4 +77,4 @@ def test_template_texts_make_few_pairs(spark, monkeypatch):
                     root[b] = a
         assert got == {i: at(i) for i in range(m)}
         made[m] = sum(counted)
-    assert made[800] < 0.05 * 800 * 800 and made[800] < 8 * made[200] + 500, made
+    assert made[600] < 0.05 * 600 * 600 and made[600] < 8 * made[150] + 500, made
