@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm import decontaminate, line_dedup, line_quality, mixing, near_copies
-from siltbed.llm.common import table
+from siltbed.llm.common import drop, stored, table
 
+#: At most so many keys of documents, of some 50 bytes, are sent to every worker; more are joined by a shuffle.
+MOST_KEYS = 200_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -65,7 +67,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     d = _with_key(docs)
     found = decontaminate.decontaminate(d, table(spark, sf_dir, "benchmark"), id_col="key").where("contaminated")
-    return d.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
+    found = stored(found.select(F.col("doc_id").alias("key")).distinct())
+    few = found.limit(MOST_KEYS + 1).count() <= MOST_KEYS  # then the texts need no shuffle
+    return d.join(F.broadcast(found) if few else found, "key", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,7 +94,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; each result but the last is written to the shared folder and read again."""
+    """Applies STAGES to documents; each result but the last is written to the shared folder, and dropped once the next one is."""
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared is None:
@@ -101,10 +105,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="siltbed-"))
         shared = context.getCheckpointDir()
     folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{i}")
-            docs = spark.read.parquet(f"{folder}/{i}")
+            if before is not None:
+                drop(before)
+            before = docs = spark.read.parquet(f"{folder}/{i}")
     return docs
