@@ -77,6 +77,26 @@ def test_changes_over_batches_restarts_and_repeats(spark, tmp_path):
     assert changes.late_rows(spark, f"{at}/out") == before + 40 > 40
 
 
+def test_state_is_kept_by_bucket(spark, tmp_path):
+    """State grows by keys, not by calls: a row per bucket, also where a bucket comes in many parts; late rows are counted one by one."""
+    at, rows = str(tmp_path), rows_over_time(4, 6000, 2500)
+    for i in range(2):
+        put(spark, rows[i * 3000 : i * 3000 + 3000], f"{at}/in", i)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        assert follow(spark, at) == counts_of(rows)
+    finally:
+        spark.conf.set(name, before)
+    held = spark.read.format("statestore").load(f"{at}/cp").count()
+    assert 0 < held <= changes.BUCKETS < len({r[0] for r in rows})
+    last = {}
+    for r in rows[:3000]:
+        last[r[0]] = max(last.get(r[0], r[1:3]), r[1:3])
+    assert changes.late_rows(spark, f"{at}/out") == sum(r[0] in last and r[1:3] <= last[r[0]] for r in rows[3000:]) > 0
+
+
 # ---------------------------------------------------------------- as of
 
 
