@@ -23,11 +23,11 @@ def snapshot_incremental(spark, sf_dir):
     at = scratch_folder(spark)
     e = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.when(F.col("value") >= 20, "high").otherwise("low").alias("band"))
     keys, n = e.agg(F.approx_count_distinct("user_id"), F.count("*")).first()
-    files = 1 + n // 500_000  # of each micro-batch, a task or more each
     parts = e.withColumn("half", F.xxhash64("event_id") > 0)
-    for half in (True, False):
-        parts.where(F.col("half") == half).drop("half").repartition(3 * files, "event_id").write.mode("append").parquet(f"{at}/in")
-        stream = changes.run_changes(spark, f"{at}/in", e.schema, "user_id", "ts", "event_id", ["event_type", "band"], f"{at}/out", f"{at}/checkpoint", files=files, partitions=8 + keys // 100_000)
+    for i, half in enumerate((True, False), 1):
+        parts.where(F.col("half") == half).drop("half").repartition(3 * (1 + n // 500_000), "event_id").write.mode("append").parquet(f"{at}/in")
+        files = len(spark.read.schema(e.schema).parquet(f"{at}/in").inputFiles())
+        stream = changes.run_changes(spark, f"{at}/in", e.schema, "user_id", "ts", "event_id", ["event_type", "band"], f"{at}/out", f"{at}/checkpoint", files=-(-files // (3 * i)), partitions=8 + keys // 100_000)
         stream.awaitTermination()
     return changes.latest_counts(spark, f"{at}/out")
 
