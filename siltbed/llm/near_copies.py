@@ -151,7 +151,7 @@ def first_copies(docs: DataFrame, key_col: str = "key", text_col: str = "text",
     centre = cut(near.groupBy("root").agg(F.min("at").alias("v")))
     guess = nodes.join(near, "fp").join(centre, "root").select(F.col("g").alias("u"), "v").where("u <> v")
     sure = cut(_verified(guess, sets, docs))
-    label = cut(components(sure).withColumnRenamed("id", "g"))
+    label = sure.select(F.col("u").alias("g"), F.col("v").alias("root"))  # v is its group's least: these are components already
 
     found = _in_prefix(sets, hot).join(label, "g", "left").withColumn("root", F.coalesce("root", "g"))
     found = stored(found.join(sets.select("g", "n"), "g"))

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from siltbed.llm import near_copies
+from siltbed.llm import components, near_copies
 
 
 def sets_of(texts):
@@ -78,3 +78,20 @@ def test_template_texts_make_few_pairs(spark, monkeypatch):
         assert got == {i: at(i) for i in range(m)}
         made[m] = sum(counted)
     assert made[600] < 0.05 * 600 * 600 and made[600] < 8 * made[150] + 500, made
+
+
+def test_components_of_links_to_roots_take_no_round(spark, monkeypatch):
+    """Rounds leave plans and threads in the driver, so there is none where each id is linked to its root, and no closing one."""
+    rounds, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda links, large: rounds.append(large) or star(links, large))
+    of = lambda links: {x.id: x.root for x in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert of([(5, 1), (1, 7), (7, 1), (-3, 4), (4, None), (6, 6)]) == {5: 1, 7: 1, 4: -3} and not rounds
+    assert of([]) == {} and not rounds
+    assert of([(2, 1), (2, 3)]) == {2: 1, 3: 1} and len(rounds) == 2
+    r = random.Random(5)
+    links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
+    root = {x: x for pair in links for x in pair}
+    for _ in range(400):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert of(links) == {k: v for k, v in root.items() if k != v}
