@@ -155,8 +155,12 @@ def first_copies(docs: DataFrame, key_col: str = "key", text_col: str = "text",
 
     found = _in_prefix(sets, hot).join(label, "g", "left").withColumn("root", F.coalesce("root", "g"))
     found = stored(found.join(sets.select("g", "n"), "g"))
-    mixed = found.groupBy("t").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("k")).where("a <> b")
-    mixed = stored(mixed.select("t", (F.col("k") > hot).alias("many")))
+    holders = [F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "g")).alias("y")]
+    mixed = found.groupBy("t").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("k"), *holders).where("a <> b")
+    # of shingles that the same sets have, only the first in the order can be a pair's first; the order is by unsigned hash
+    turned = lambda c: F.col(c).bitwiseXOR(F.lit(-(2**63)))
+    mixed = mixed.groupBy("k", "x", "y").agg(F.min(turned("t")).alias("first"))
+    mixed = stored(mixed.select(turned("first").alias("t"), (F.col("k") > hot).alias("many")))
     held = stored(found.join(mixed, "t"))
     drop(found, mixed)
     # a shingle that few sets have makes few pairs a set

@@ -95,3 +95,20 @@ def test_components_of_links_to_roots_take_no_round(spark, monkeypatch):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     assert of(links) == {k: v for k, v in root.items() if k != v}
+
+
+def test_a_passage_is_joined_by_its_first_shingle(spark, monkeypatch):
+    """Texts of one passage and few own words: shingles with equal holders make the same pairs, so one of them is joined."""
+    passage = [f"p{i}" for i in range(300)]
+    texts = [" ".join([*passage, *(f"own{i}x{j}" for j in range(70 + i % 3))]) for i in range(20)]
+    joined, whole = [], near_copies._pairs
+    monkeypatch.setattr(near_copies, "_pairs", lambda held, folds: joined.append(held.select("t").distinct().count()) or whole(held, folds))
+    d = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    s = sets_of(texts)
+    near = {(i, j) for i in range(20) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])}
+    got = {x.key: x.first for x in near_copies.first_copies(d).collect()}
+    assert not near and got == {i: i for i in range(20)}
+    monkeypatch.setattr(near_copies, "_pairs", whole)
+    prefixes = [set(sorted(x)[: len(x) - -(-4 * len(x) // 5) + 1]) for x in s]
+    shared = {t for t in set.union(*prefixes) if sum(t in x for x in prefixes) > 1}
+    assert len({frozenset(i for i, x in enumerate(prefixes) if t in x) for t in shared}) >= sum(joined) < len(shared), (joined, len(shared))
